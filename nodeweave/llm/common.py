@@ -38,6 +38,27 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
 
 
+#: Blocks of a filter: its broadcast side has so many rows of five longs at most (5 MB), whatever the input.
+FILTER_BLOCKS = 1 << 17
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, key: str, mark: str = "_maybe") -> DataFrame:
+    """rows with a mark: false if the key is surely not among keys. A blocked Bloom filter of four words a block, a bit
+    in each, built by bit_or; one that fills up only marks more rows."""
+    masks = [F.expr(f"shiftleft(1L, cast(pmod(shiftright(_g, {6 * n}), 64) AS int))") for n in range(4)]
+
+    def hashed(df: DataFrame) -> DataFrame:
+        df = df.withColumns({"_b": F.pmod(F.xxhash64(key), F.lit(FILTER_BLOCKS)), "_g": F.xxhash64(key, F.lit(1))})
+        return df.withColumns({f"_m{n}": m for n, m in enumerate(masks)})
+
+    blocks = hashed(keys.select(key)).groupBy("_b").agg(*[F.bit_or(f"_m{n}").alias(f"_f{n}") for n in range(4)])
+    found = hashed(rows).join(F.broadcast(blocks), "_b", "left")
+    all_set = F.lit(True)
+    for n in range(4):
+        all_set = all_set & (F.col(f"_f{n}").bitwiseAND(F.col(f"_m{n}")) != 0)
+    return found.select(*rows.columns, F.coalesce(all_set, F.lit(False)).alias(mark))
+
+
 def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, heavy: int = 512) -> DataFrame:
     """rows left-joined with groups (one row a key; size: its number of rows, summing to total at most).
 
