@@ -12,8 +12,10 @@ pass through; an empty table gives an empty one; other columns are not read.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterable
+from struct import pack
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -44,6 +46,45 @@ def tokenizer(path: str):
     return t
 
 
+#: Chunks kept with their ids, a worker, in each of two generations: what isn't met again while one fills is forgotten.
+STORED, STORED_LENGTH = 200_000, 64
+_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+_OTHER_BLANK = re.compile(r"[^\S \n]")
+
+
+class Encoder:
+    """Ids of texts as little-endian uint32 bytes, by the tokenizers library.
+
+    The vocabulary's split never joins a character that is no white space with white space after it, so chunks that begin
+    with their white space are encoded apart, each distinct one once while it is stored. Texts with white space other than
+    spaces and line feeds are encoded whole.
+    """
+
+    def __init__(self, path: str):
+        self.tokenizer, self.young, self.old = tokenizer(path), {}, {}
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [pack(f"<{len(e)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [None if _OTHER_BLANK.search(t) else _CHUNK.findall(t) for t in texts]
+        young, old, new = self.young, self.old, []
+        for c in set().union(*[x for x in split if x]).difference(young):
+            if c in old:
+                young[c] = old[c]
+            else:
+                new.append(c)
+        young.update(zip(new, self._plain(new)))
+        find = young.__getitem__
+        out = [self._plain([t])[0] if chunks is None else b"".join(map(find, chunks)) for t, chunks in zip(texts, split)]
+        for c in new:
+            if len(c) > STORED_LENGTH:
+                del young[c]
+        if len(young) > STORED:
+            self.young, self.old = {}, young
+        return out
+
+
 def fullest(room: int, available: list[tuple[int, int]]) -> dict[int, int]:
     """The combination of (length, count) that fills room best: {length: times}. Longer pieces are tried first."""
     reach, mask, steps = 1, (1 << (room + 1)) - 1, []
@@ -107,16 +148,16 @@ def pieces(docs: DataFrame, path: str, size: int = SEQUENCE) -> DataFrame:
 
         part = TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
-        t = tokenizer(path)
+        encoder, closing = Encoder(path), np.array([CLOSING], "<u4").tobytes()
         for b in batches:
             ids_of = b.column("doc_id").to_pylist()
             texts = [x or "" for x in b.column("text").to_pylist()]
             rows = []
             for lo in range(0, len(texts), 64):  # few encodings in memory at once
-                for doc_id, e in zip(ids_of[lo : lo + 64], t.encode_batch_fast(texts[lo : lo + 64], add_special_tokens=False)):
-                    ids = np.array([*e.ids, CLOSING], "<u4")
-                    for k, (start, length) in enumerate(cut(len(ids), size)):
-                        rows.append((doc_id, k, start, length, zlib.crc32(ids[start : start + length].tobytes()), part, int(seen[length])))
+                for doc_id, ids in zip(ids_of[lo : lo + 64], encoder.encode(texts[lo : lo + 64])):
+                    ids += closing
+                    for k, (start, length) in enumerate(cut(len(ids) // 4, size)):
+                        rows.append((doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, int(seen[length])))
                         seen[length] += 1
             cols = list(zip(*rows)) or [()] * 7
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
