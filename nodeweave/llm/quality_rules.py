@@ -38,11 +38,11 @@ class Rule:
 RULES = (
     Rule("words", "n_words", least=50),
     Rule("repeated_windows", "100 * n_repeat_words - 50 * n_words", most=0),
-    Rule("mean_word_length", "word_chars / n_words", least=2, most=25),
-    Rule("symbols_per_word", "n_symbols / n_words", most=0.25),
-    Rule("stop_words", "n_stop_words / n_words", least=0.02),
-    Rule("duplicate_lines", "n_dup_lines / greatest(n_lines, 1)", most=0.5),
-    Rule("shouted_words", "n_shouted / n_words", most=0.7),
+    Rule("mean_word_length", "try_divide(word_chars, n_words)", least=2, most=25),
+    Rule("symbols_per_word", "try_divide(n_symbols, n_words)", most=0.25),
+    Rule("stop_words", "try_divide(n_stop_words, n_words)", least=0.02),
+    Rule("duplicate_lines", "try_divide(n_dup_lines, greatest(n_lines, 1))", most=0.5),
+    Rule("shouted_words", "try_divide(n_shouted, n_words)", most=0.7),
 )
 
 
