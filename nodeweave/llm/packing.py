@@ -47,42 +47,45 @@ def tokenizer(path: str):
 
 
 #: Chunks kept with their ids, a worker, in each of two generations: what isn't met again while one fills is forgotten.
-STORED, STORED_LENGTH = 200_000, 64
-_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+STORED, STORED_LENGTH = 400_000, 64
+_CHUNK = re.compile(r"[ \n]*(?:[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[.,])|[^ \n]+)|[ \n]+")
 _OTHER_BLANK = re.compile(r"[^\S \n]")
 
 
+class _Stored(dict):
+    """Chunk to ids, encoded when first asked for."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.old = tokenizer, {}
+
+    def encoded(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk) or self.encoded(chunk)
+        if len(chunk) <= STORED_LENGTH:
+            if len(self) >= STORED:
+                self.old = dict(self)
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts as little-endian uint32 bytes, by the tokenizers library.
 
-    The vocabulary's split never joins a character that is no white space with white space after it, so chunks that begin
-    with their white space are encoded apart, each distinct one once while it is stored. Texts with white space other than
-    spaces and line feeds are encoded whole.
+    The vocabulary's split never joins a character that is no white space with white space after it, nor a letter with a
+    stop or comma after it. So chunks that begin with their white space are encoded apart, each distinct one once while it
+    is stored. Texts with white space other than spaces and line feeds are encoded whole.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.young, self.old = tokenizer(path), {}, {}
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [pack(f"<{len(e)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.stored = _Stored(tokenizer(path))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _OTHER_BLANK.search(t) else _CHUNK.findall(t) for t in texts]
-        young, old, new = self.young, self.old, []
-        for c in set().union(*[x for x in split if x]).difference(young):
-            if c in old:
-                young[c] = old[c]
-            else:
-                new.append(c)
-        young.update(zip(new, self._plain(new)))
-        find = young.__getitem__
-        out = [self._plain([t])[0] if chunks is None else b"".join(map(find, chunks)) for t, chunks in zip(texts, split)]
-        for c in new:
-            if len(c) > STORED_LENGTH:
-                del young[c]
-        if len(young) > STORED:
-            self.young, self.old = {}, young
-        return out
+        find = self.stored.__getitem__
+        return [self.stored.encoded(t) if _OTHER_BLANK.search(t) else b"".join(map(find, _CHUNK.findall(t))) for t in texts]
 
 
 def fullest(room: int, available: list[tuple[int, int]]) -> dict[int, int]:
