@@ -48,8 +48,10 @@ def tokenizer(path: str):
 
 #: Chunks kept with their ids, a worker, in each of two generations: what isn't met again while one fills is forgotten.
 STORED, STORED_LENGTH = 400_000, 64
-_CHUNK = re.compile(r"[ \n]*(?:[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[.,])|[^ \n]+)|[ \n]+")
+_LETTER = "0-9A-Za-zÀ-ÖØ-öø-ɏ"
 _OTHER_BLANK = re.compile(r"[^\S \n]")
+_APART = re.compile(rf"[.,](?<![{_LETTER}].)")
+_TWO = ("  ", "\n\n", " \n", "\n ")
 
 
 class _Stored(dict):
@@ -63,7 +65,7 @@ class _Stored(dict):
         return pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.old.get(chunk) or self.encoded(chunk)
+        ids = self.old.get(chunk) or self.encoded(chunk if chunk[0] in "\n.," else f" {chunk}")
         if len(chunk) <= STORED_LENGTH:
             if len(self) >= STORED:
                 self.old = dict(self)
@@ -75,17 +77,24 @@ class _Stored(dict):
 class Encoder:
     """Ids of texts as little-endian uint32 bytes, by the tokenizers library.
 
-    The vocabulary's split never joins a character that is no white space with white space after it, nor a letter with a
-    stop or comma after it. So chunks that begin with their white space are encoded apart, each distinct one once while it
-    is stored. Texts with white space other than spaces and line feeds are encoded whole.
+    The vocabulary's split never joins a character that is no white space with white space after it, nor a letter or digit
+    with a stop or comma after it. Texts are cut there and each distinct chunk is encoded once while it is stored. A chunk's
+    leading space is left out of its key, as only the text's first chunk and those of a line feed, stop or comma have none.
+    Texts with other or doubled white space, or a stop or comma after anything else, are encoded whole.
     """
 
     def __init__(self, path: str):
         self.stored = _Stored(tokenizer(path))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        find = self.stored.__getitem__
-        return [self.stored.encoded(t) if _OTHER_BLANK.search(t) else b"".join(map(find, _CHUNK.findall(t))) for t in texts]
+        find, out = self.stored.__getitem__, []
+        for t in texts:
+            if not t or t[0] in " \n" or t[-1] in " \n" or any(x in t for x in _TWO) or _OTHER_BLANK.search(t) or _APART.search(t):
+                out.append(self.stored.encoded(t))
+            else:
+                first, *rest = t.replace("\n", " \n").replace(".", " .").replace(",", " ,").split(" ")
+                out.append(self.stored.encoded(first) + b"".join(map(find, rest)))
+        return out
 
 
 def fullest(room: int, available: list[tuple[int, int]]) -> dict[int, int]:
