@@ -8,10 +8,11 @@ that is 5.1e-4 for 10 bands of two; at 0.8 it is 7e-5. Candidates are confirmed
 Only connectivity is asked for, and that keeps the work linear in the copies:
 1. Documents with one set are one class (a digest of the whole sorted set); only classes go on.
 2. A band value that one class has can't meet another, so its keys are dropped before pairs of bands are formed.
-3. First round: each class is compared with the least class that it shares a key with. Links are contracted.
-4. Second round: only pairs of different components within a key remain. Keys of few members compare each such pair. Keys
-   of many members take the exact way: their classes' rarest shingles (a prefix that any two sets of the threshold's
-   similarity must share), so that common passages bring no pairs. Nothing is capped or sampled.
+3. In TURNS rounds each class is compared with one center of another component that it shares most keys with, and links
+   are contracted; keys whose members are one component are done.
+4. What is left open is compared in full: keys of few members compare all their pairs of different components. Keys of many
+   members take the exact way: their classes' rarest shingles (a prefix that any two sets of the threshold's similarity
+   must share), so that common passages bring no pairs. Nothing is capped or sampled.
 
 Defined cases: null or blank text, or one without words, has no shingles and is linked with nothing; fewer than five words
 are one shingle; null ids have no say in the component's id and get it like others, null if all are null; rows that repeat
@@ -27,13 +28,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nodeweave.llm.common import with_groups, written
+from nodeweave.llm.common import maybe_in, with_groups, written
 
 WIDTH, TABLES, BAND = 5, 10, 2
 #: The threshold as a ratio of whole numbers, so that it is exact.
 OVER, UNDER = 75, 100
 #: Members up to which a key compares all pairs of different components.
 FEW = 32
+#: Rounds in which each class is compared with one center, before pairs within keys are.
+TURNS = 4
 #: Comparisons that share one copy of a class's set.
 FAN = 256
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -119,13 +122,13 @@ def signed(docs: DataFrame, tables: int = TABLES, band: int = BAND) -> DataFrame
 
 
 def table_keys(classes: DataFrame, tables: int = TABLES) -> DataFrame:
-    """(key, cls, n) of each class and table in which both band values are shared with another class."""
-    each = classes.select("cls", "n", F.posexplode("bands").alias("at", "value"))
+    """(key, node, n) of each class and table in which both band values are shared with another class."""
+    each = classes.select("node", "n", F.posexplode("bands").alias("at", "value"))
     shared = each.groupBy("at", "value").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("at", "value")
-    met = each.join(shared, ["at", "value"]).groupBy("cls").agg(F.first("n").alias("n"), F.collect_list(F.struct("at", "value")).alias("m"))  # 2 * tables a class
+    met = each.join(shared, ["at", "value"]).groupBy("node").agg(F.first("n").alias("n"), F.collect_list(F.struct("at", "value")).alias("m"))  # 2 * tables a class
     left, right = F.filter("m", lambda x: x["at"] < tables), F.filter("m", lambda x: x["at"] >= tables)
-    pairs = met.select("cls", "n", right.alias("r"), F.explode(left).alias("l")).select("cls", "n", "l", F.explode("r").alias("r"))
-    return pairs.select(F.xxhash64("l.at", "l.value", "r.at", "r.value").alias("key"), "cls", "n")
+    pairs = met.select("node", "n", right.alias("r"), F.explode(left).alias("l")).select("node", "n", "l", F.explode("r").alias("r"))
+    return pairs.select(F.xxhash64("l.at", "l.value", "r.at", "r.value").alias("key"), "node", "n")
 
 
 def similar_size(a: Column, b: Column) -> Column:
@@ -134,9 +137,9 @@ def similar_size(a: Column, b: Column) -> Column:
 
 
 def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, n, s): the full set of each class as bytes, read again from a row of it. classes: cls, rep (its least id, or null)."""
-    want = classes.select("cls", "rep")
-    named = docs.select("doc_id", "text").join(want.where("rep IS NOT NULL").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    """(node, n, s): the full set of each class as bytes, read again from a row of it. classes: node, cls, rep (its least id, or null)."""
+    reps = classes.where("rep IS NOT NULL").select(F.col("rep").alias("doc_id")).distinct()
+    named = maybe_in(docs.select("doc_id", "text"), reps, "doc_id").where("_maybe").drop("_maybe").join(reps, "doc_id", "left_semi")
     rows = named.unionByName(docs.select("doc_id", "text").where("doc_id IS NULL"))
 
     def run(batches):
@@ -149,15 +152,17 @@ def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"cls": pa.array([digest(s) for s in found], pa.binary()), "n": pa.array([len(s) for s in found], pa.int64()), "s": pa.array([s.tobytes() for s in found], pa.binary())})
 
     got = rows.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "cls binary, n long, s binary")
-    return got.join(want.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("s").alias("s"))
+    return got.join(classes.select("cls", "node"), "cls").groupBy("node").agg(F.first("n").alias("n"), F.first("s").alias("s"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are linked. A set goes once to each FAN comparisons, so a hot class is dealt out."""
+    """The pairs (a, b) of nodes that are linked. A set goes once to each FAN comparisons, so a hot node is dealt out; sets
+    that no pair names are filtered before they move."""
     fans = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("c")).withColumn("fans", F.ceil(F.col("c") / FAN).cast("int"))
-    right = sets.join(fans, sets["cls"] == fans["b"]).select("b", F.col("s").alias("sb"), F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"))
+    named = maybe_in(sets.withColumnRenamed("node", "b"), fans, "b").where("_maybe")
+    right = named.join(fans, "b").select("b", F.col("s").alias("sb"), F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"))
     dealt = with_groups(pairs, fans, "b", "c", pairs.count()).withColumn("fan", F.pmod(F.xxhash64("a"), F.col("fans")).cast("int")).drop("c", "fans")
-    left = sets.select(F.col("cls").alias("a"), F.col("s").alias("sa"))
+    left = maybe_in(sets.withColumnRenamed("node", "a"), pairs, "a").where("_maybe").select("a", F.col("s").alias("sa"))
     both = dealt.join(right, ["b", "fan"]).join(left, "a").select("a", "b", "sa", "sb")
 
     def run(batches):
@@ -171,38 +176,45 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(UNDER * both_ >= OVER * (len(u) + len(v) - both_))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return written(both.mapInArrow(run, "a binary, b binary"), "links")
+    return written(both.mapInArrow(run, "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(cls, comp) of every class with a link: the least class it reaches. Labels pass along links, then jump to their label's label."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = written(both, "edges")
-    label = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("cls"), F.least("a", "m").alias("comp")), "labels")
+    """(node, comp) of every node with a link: the least node it reaches. Labels pass along links, then jump to their label's label."""
+    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    label = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "labels")
     while True:
-        near = both.join(label.select(F.col("cls").alias("b"), F.col("comp").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
-        low = label.join(near, label["cls"] == near["a"]).select("cls", F.col("comp").alias("was"), F.least("comp", "c").alias("via"))
-        up = low.select(F.col("cls").alias("via"), F.col("via").alias("top"))
-        step = written(low.join(up, "via", "left").select("cls", "was", F.least("via", F.coalesce("top", "via")).alias("comp")), "labels")
-        label = step.select("cls", "comp")
+        near = both.join(label.select(F.col("node").alias("b"), F.col("comp").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
+        low = label.join(near, label["node"] == near["a"]).select("node", F.col("comp").alias("was"), F.least("comp", "c").alias("via"))
+        up = label.select(F.col("node").alias("via"), F.col("comp").alias("top"))
+        step = written(low.join(up, "via", "left").select("node", "was", F.least("via", F.coalesce("top", "via")).alias("comp")), "labels")
+        label = step.select("node", "comp")
         if step.where("was <> comp").isEmpty():
             return label
 
 
 def labelled(keys: DataFrame, comps: DataFrame) -> DataFrame:
-    return keys.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    return keys.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def open_keys(keys: DataFrame) -> DataFrame:
+def open_keys(members: DataFrame) -> DataFrame:
     """Keys with members of different components: (key, members)."""
-    span = keys.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"))
+    span = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"))
     return span.where("lo <> hi").select("key", "members")
 
 
+def star(members: DataFrame, turn: int) -> DataFrame:
+    """One pair (a, b) a node at most: b is the center of most of its open keys. The center is the least by a hash of the turn."""
+    center = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp", "n")).alias("m"))
+    met = members.join(center, "key").where((F.col("comp") != F.col("m.comp")) & similar_size(F.col("n"), F.col("m.n")))
+    votes = met.groupBy(F.col("node").alias("a"), F.col("m.node").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    return votes.groupBy("a").agg(F.max(F.struct("c", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+
+
 def across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members (key, cls, n, comp) of a key that lie in different components and may be similar."""
-    a = members.select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    b = members.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    """Pairs (a, b) of members (key, node, n, comp) of a key that lie in different components and may be similar."""
+    a = members.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    b = members.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
     return a.join(b, "key").where((F.col("ca") < F.col("cb")) & similar_size(F.col("na"), F.col("nb"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -216,49 +228,52 @@ def by_prefix(sets: DataFrame, comps: DataFrame) -> DataFrame:
 
     def unpack(batches):
         for b in batches:
-            for cls, n, s in zip(b["cls"], b["n"], b["s"]):
+            for node, n, s in zip(b["node"], b["n"], b["s"]):
                 values = np.frombuffer(s, np.int64)
                 for lo in range(0, len(values), 65536):
                     part = values[lo : lo + 65536]
-                    yield pd.DataFrame({"cls": [cls] * len(part), "n": n, "t": part})
+                    yield pd.DataFrame({"node": node, "n": n, "t": part})
 
-    each = sets.mapInPandas(unpack, "cls binary, n long, t long")
+    each = sets.mapInPandas(unpack, "node long, n long, t long")
     counts = each.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    ranked = each.join(counts, "t").groupBy("cls").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "t"))).alias("x"))  # a set
-    prefix = ranked.select("cls", "n", F.explode(F.expr(f"slice(x, 1, cast(n - ceil({OVER} * n / {UNDER}) + 1 AS int))")).alias("x"))
-    members = labelled(prefix.where("x.df > 1").select(F.col("x.t").alias("key"), "cls", "n"), comps)
-    members = written(members, "prefixes")
+    ranked = each.join(counts, "t").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "t"))).alias("x"))  # a set
+    prefix = ranked.select("node", "n", F.explode(F.expr(f"slice(x, 1, cast(n - ceil({OVER} * n / {UNDER}) + 1 AS int))")).alias("x"))
+    members = written(labelled(prefix.where("x.df > 1").select(F.col("x.t").alias("key"), "node", "n"), comps), "prefixes")
     return across(members.join(open_keys(members).select("key"), "key"))
 
 
-def linked(docs: DataFrame, tables: int = TABLES, band: int = BAND, few: int = FEW) -> DataFrame:
+def linked(docs: DataFrame, tables: int = TABLES, band: int = BAND, few: int = FEW, turns: int = TURNS) -> DataFrame:
     """A row a document: doc_id, cls, n_shingles, component_id, kept."""
     rows = written(signed(docs, tables, band), "signed")
     classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c"), F.first("bands").alias("bands"))
-    classes = written(classes, "classes")
-    keys = written(table_keys(classes, tables), "keys")
-    low = keys.groupBy("key").agg(F.min("cls").alias("b"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    first = keys.join(low, "key").where("cls <> b").groupBy("cls").agg(F.min("b").alias("b")).select(F.col("cls").alias("a"), "b")
-    first = written(first, "pairs")
-    involved = keys.join(low.select("key"), "key", "left_semi").select("cls").distinct()
-    sets = written(sets_of(docs, classes.join(involved, "cls", "left_semi")), "sets")
-    links = confirmed(first, sets)
-    comps = components(links)
-    now = written(labelled(keys, comps), "members")
-    opened = written(open_keys(now), "open")
-    small = now.join(opened.where(F.col("members") <= few).select("key"), "key")
-    large = now.join(opened.where(F.col("members") > few).select("key"), "key", "left_semi").select("cls").distinct()
-    more = across(small)
-    if not opened.where(F.col("members") > few).isEmpty():
-        more = more.unionByName(by_prefix(sets.join(large, "cls", "left_semi"), comps)).distinct()
-    more = written(more.join(first, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(confirmed(more, sets))
-    comps = components(links)
-    named = classes.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    members = table_keys(classes, tables).withColumn("comp", F.col("node"))
+    members = written(members.join(open_keys(members).select("key"), "key", "left_semi"), "members")
+    sets = written(sets_of(docs, classes.join(members.select("node").distinct(), "node", "left_semi")), "sets")
+    links = tried = None
+    comps = classes.sparkSession.createDataFrame([], "node long, comp long")
+    for turn in range(turns):
+        pairs = star(members, turn)
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = confirmed(pairs, sets)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        comps = components(links)
+        now = labelled(members.drop("comp"), comps)
+        members = written(now.join(open_keys(now).select("key"), "key", "left_semi"), "members")
+        if members.isEmpty():
+            break
+    size = open_keys(members)
+    more = across(members.join(size.where(F.col("members") <= few).select("key"), "key", "left_semi"))
+    large = written(members.join(size.where(F.col("members") > few).select("key"), "key", "left_semi").select("node").distinct(), "large")
+    if not large.isEmpty():
+        more = more.unionByName(by_prefix(sets.join(large, "node", "left_semi"), comps)).distinct()
+    more = written(more.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    comps = components(links.unionByName(confirmed(more, sets)))
+    named = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     ids = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     groups = written(named.join(ids, "comp").select("cls", "component_id", "c"), "groups")
-    total = rows.count()
-    out = with_groups(rows.select("doc_id", "n_shingles", "cls"), groups, "cls", "c", total).drop("c")
+    out = with_groups(rows.select("doc_id", "n_shingles", "cls"), groups, "cls", "c", rows.count()).drop("c")
     out = out.withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
