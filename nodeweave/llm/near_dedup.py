@@ -203,9 +203,20 @@ def open_keys(members: DataFrame) -> DataFrame:
     return span.where("lo <> hi").select("key", "members")
 
 
-def star(members: DataFrame, turn: int) -> DataFrame:
-    """One pair (a, b) a node at most: b is the center of most of its open keys. The center is the least by a hash of the turn."""
-    center = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp", "n")).alias("m"))
+def star(members: DataFrame, turn: int, used: DataFrame | None = None) -> DataFrame:
+    """One pair (a, b) a node at most: b is the center of most of its open keys.
+
+    In the first two turns a key's center is the member whose keys have most members in all, that is the text that the
+    others vary; later, the least by a hash of the turn. used: earlier centers (b), which the second turn leaves out.
+    """
+    if turn < 2:
+        size = members.groupBy("key").agg(F.count(F.lit(1)).alias("w"))
+        weight = members.select("key", "node").join(size, "key").groupBy("node").agg((-F.sum("w")).alias("h"))
+        able = members if used is None else members.join(used.select(F.col("b").alias("node")).distinct(), "node", "left_anti")
+        able = able.join(weight, "node")
+    else:
+        able = members.withColumn("h", F.xxhash64("node", F.lit(turn)))
+    center = able.groupBy("key").agg(F.min(F.struct("h", "node", "comp", "n")).alias("m"))
     met = members.join(center, "key").where((F.col("comp") != F.col("m.comp")) & similar_size(F.col("n"), F.col("m.n")))
     votes = met.groupBy(F.col("node").alias("a"), F.col("m.node").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     return votes.groupBy("a").agg(F.max(F.struct("c", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
@@ -253,7 +264,7 @@ def linked(docs: DataFrame, tables: int = TABLES, band: int = BAND, few: int = F
     links = tried = None
     comps = classes.sparkSession.createDataFrame([], "node long, comp long")
     for turn in range(turns):
-        pairs = star(members, turn)
+        pairs = star(members, turn, tried)
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         found = confirmed(pairs, sets)
         tried = pairs if tried is None else tried.unionByName(pairs)

@@ -1,9 +1,10 @@
 """Queries of this subpackage, and DuckDB SQL where it can express them."""
 
-from nodeweave.llm import byte_bpe, exact_dedup, near_dedup, packing, quality_model, quality_rules, secret_scan, url_filter, warc_zip
+from nodeweave.llm import byte_bpe, exact_dedup, near_dedup, packing, quality_model, quality_rules, secret_scan, substring_dedup, url_filter, warc_zip
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1,
+    "op2_substring_dedup": substring_dedup.op2,
     "op3_exact_dedup": exact_dedup.op3,
     "op4_secret_scan": secret_scan.op4,
     "op5_warc_zip": warc_zip.op5,

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nodeweave.llm import byte_bpe, exact_dedup, near_dedup, packing, quality_model, quality_rules, secret_scan, url_filter, warc_zip
+from nodeweave.llm import byte_bpe, exact_dedup, near_dedup, packing, quality_model, quality_rules, secret_scan, substring_dedup, url_filter, warc_zip
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -405,3 +405,21 @@ def test_rules_are_a_table(spark):
     assert {r.doc_id: r.kept for r in quality_rules.quality_rules(df).collect()} == {1: True, 2: False}
     none_of = (quality_rules.Rule("never", "n_words", most=1),)
     assert not any(r.kept for r in quality_rules.quality_rules(df, none_of).collect())
+
+
+# --- substring dedup
+
+
+def test_substring_dedup(spark, docs, none):
+    passage = prose(7, 30) + ". " + prose(8, 20) + "!"
+    rows = [(1, "start. " + passage), (2, passage + " " + prose(9, 9)), (3, "ONE two three  four five.\none two three four five."), (4, None), (5, "a b. a b."), (None, passage)]
+    for some in (rows, ROWS):
+        seen, want = {}, {}
+        for i, t in sorted(some, key=lambda r: (r[0] is None, r[0] or 0)):
+            want.setdefault(i, set())
+            for a, b, d in substring_dedup.spans_of(t or ""):
+                if seen.setdefault(d, (i, a)) != (i, a):
+                    want[i].add((a, b))
+        got = {r.doc_id: r.spans for r in substring_dedup.deduplicated(docs_of(spark, some)).collect()}
+        assert got == {i: ",".join(f"{a}:{b}" for a, b in sorted(s)) for i, s in want.items()}
+    assert substring_dedup.deduplicated(none).count() == 0
