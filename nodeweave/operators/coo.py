@@ -120,14 +120,14 @@ def indptr(a: DataFrame, heads: int = 256) -> DataFrame:
 
 
 def schur_diagonal(a: DataFrame, physical: int) -> DataFrame:
-    """Diagonal of A11 - A12 diag(A22)^-1 A21, rows and columns below `physical` being block 1."""
+    """Diagonal of a block preconditioner: that of A11, then that of A22 - A21 diag(A11)^-1 A12; block 1 is below `physical`."""
     c = coalesce(a)
-    a12 = c.where((F.col("row") < physical) & (F.col("col") >= physical)).select("row", F.col("col").alias("j"), F.col("val").alias("up"))
-    a21 = c.where((F.col("row") >= physical) & (F.col("col") < physical)).select(F.col("col").alias("row"), F.col("row").alias("j"), F.col("val").alias("down"))
+    a21 = c.where((F.col("row") >= physical) & (F.col("col") < physical)).select("row", F.col("col").alias("j"), F.col("val").alias("down"))
+    a12 = c.where((F.col("row") < physical) & (F.col("col") >= physical)).select(F.col("col").alias("row"), F.col("row").alias("j"), F.col("val").alias("up"))
     d = diagonal(c)
-    d22 = d.where(F.col("id") >= physical).select(F.col("id").alias("j"), F.col("v").alias("d"))
-    less = a12.join(a21, ["row", "j"]).join(d22, "j").where("d <> 0").groupBy("row").agg(F.sum(F.col("up") * F.col("down") / F.col("d")).alias("s"))
-    return d.where(F.col("id") < physical).join(less.withColumnRenamed("row", "id"), "id", "left").select("id", (F.col("v") - F.coalesce("s", F.lit(0.0))).alias("v"))
+    d11 = d.where(F.col("id") < physical).select(F.col("id").alias("j"), F.col("v").alias("d"))
+    less = a21.join(a12, ["row", "j"]).join(d11, "j").where("d <> 0").groupBy("row").agg(F.sum(F.col("up") * F.col("down") / F.col("d")).alias("s"))
+    return d.join(less.withColumnRenamed("row", "id"), "id", "left").select("id", (F.col("v") - F.coalesce("s", F.lit(0.0))).alias("v"))
 
 
 def valid_csr(a: DataFrame) -> DataFrame:
