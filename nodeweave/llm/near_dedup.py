@@ -10,9 +10,9 @@ Only connectivity is asked for, and that keeps the work linear in the copies:
 2. A band value that one class has can't meet another, so its keys are dropped before pairs of bands are formed.
 3. In TURNS rounds each class is compared with one center of another component that it shares most keys with, and links
    are contracted; keys whose members are one component are done.
-4. What is left open is compared in full: keys of few members compare all their pairs of different components. Keys of many
-   members take the exact way: their classes' rarest shingles (a prefix that any two sets of the threshold's similarity
-   must share), so that common passages bring no pairs. Nothing is capped or sampled.
+4. Classes with keys that are still open are compared by an exact way: those that share one of their rarest shingles (a
+   prefix that any two sets of the threshold's similarity must share), so that common passages and edits of one base bring
+   no pairs. Nothing is capped or sampled.
 
 Defined cases: null or blank text, or one without words, has no shingles and is linked with nothing; fewer than five words
 are one shingle; null ids have no say in the component's id and get it like others, null if all are null; rows that repeat
@@ -33,10 +33,10 @@ from nodeweave.llm.common import maybe_in, with_groups, written
 WIDTH, TABLES, BAND = 5, 10, 2
 #: The threshold as a ratio of whole numbers, so that it is exact.
 OVER, UNDER = 75, 100
-#: Members up to which a key compares all pairs of different components.
-FEW = 32
-#: Rounds in which each class is compared with one center, before pairs within keys are.
-TURNS = 4
+#: Rounds in which each class is compared with one center, before what is left open is.
+TURNS = 2
+#: Words of 64 bits of a set's parity bitmap: it bounds the overlap of two sets from above, most sharply below 500 shingles.
+PLANES = 8
 #: Comparisons that share one copy of a class's set.
 FAN = 256
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -101,6 +101,12 @@ def digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def parities(s: np.ndarray) -> list[int]:
+    """How many shingles fall on each of 64 * PLANES places, modulo two."""
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % (64 * PLANES), minlength=64 * PLANES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def signed(docs: DataFrame, tables: int = TABLES, band: int = BAND) -> DataFrame:
     """doc_id, n_shingles, cls (the set's digest, null without shingles), bands of docs (doc_id, text)."""
 
@@ -137,7 +143,7 @@ def similar_size(a: Column, b: Column) -> Column:
 
 
 def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, n, s): the full set of each class as bytes, read again from a row of it. classes: node, cls, rep (its least id, or null)."""
+    """(node, n, s, bits): the full set of each class as bytes and its parities, read again from a row of it. classes: node, cls, rep (its least id, or null)."""
     reps = classes.where("rep IS NOT NULL").select(F.col("rep").alias("doc_id")).distinct()
     named = maybe_in(docs.select("doc_id", "text"), reps, "doc_id").where("_maybe").drop("_maybe").join(reps, "doc_id", "left_semi")
     rows = named.unionByName(docs.select("doc_id", "text").where("doc_id IS NULL"))
@@ -149,10 +155,10 @@ def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 found = [shingles(t, store) for t in b.column("text").slice(lo, 256).to_pylist()]
-                yield pa.RecordBatch.from_pydict({"cls": pa.array([digest(s) for s in found], pa.binary()), "n": pa.array([len(s) for s in found], pa.int64()), "s": pa.array([s.tobytes() for s in found], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"cls": pa.array([digest(s) for s in found], pa.binary()), "n": pa.array([len(s) for s in found], pa.int64()), "s": pa.array([s.tobytes() for s in found], pa.binary()), "bits": pa.array([parities(s) for s in found], pa.list_(pa.int64()))})
 
-    got = rows.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "cls binary, n long, s binary")
-    return got.join(classes.select("cls", "node"), "cls").groupBy("node").agg(F.first("n").alias("n"), F.first("s").alias("s"))
+    got = rows.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "cls binary, n long, s binary, bits array<long>")
+    return got.join(classes.select("cls", "node"), "cls").groupBy("node").agg(F.first("n").alias("n"), F.first("s").alias("s"), F.first("bits").alias("bits"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -203,57 +209,69 @@ def open_keys(members: DataFrame) -> DataFrame:
     return span.where("lo <> hi").select("key", "members")
 
 
-def star(members: DataFrame, turn: int, used: DataFrame | None = None) -> DataFrame:
+def star(members: DataFrame, turn: int) -> DataFrame:
     """One pair (a, b) a node at most: b is the center of most of its open keys.
 
-    In the first two turns a key's center is the member whose keys have most members in all, that is the text that the
-    others vary; later, the least by a hash of the turn. used: earlier centers (b), which the second turn leaves out.
+    In the first turn a key's center is the member whose keys have most members in all, that is the text that the others
+    vary; later, the least by a hash of the turn.
     """
-    if turn < 2:
+    if turn == 0:
         size = members.groupBy("key").agg(F.count(F.lit(1)).alias("w"))
-        weight = members.select("key", "node").join(size, "key").groupBy("node").agg((-F.sum("w")).alias("h"))
-        able = members if used is None else members.join(used.select(F.col("b").alias("node")).distinct(), "node", "left_anti")
-        able = able.join(weight, "node")
+        fit = members.join(members.select("key", "node").join(size, "key").groupBy("node").agg((-F.sum("w")).alias("h")), "node")
     else:
-        able = members.withColumn("h", F.xxhash64("node", F.lit(turn)))
-    center = able.groupBy("key").agg(F.min(F.struct("h", "node", "comp", "n")).alias("m"))
+        fit = members.withColumn("h", F.xxhash64("node", F.lit(turn)))
+    center = fit.groupBy("key").agg(F.min(F.struct("h", "node", "comp", "n")).alias("m"))
     met = members.join(center, "key").where((F.col("comp") != F.col("m.comp")) & similar_size(F.col("n"), F.col("m.n")))
     votes = met.groupBy(F.col("node").alias("a"), F.col("m.node").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     return votes.groupBy("a").agg(F.max(F.struct("c", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
 
 
+def able(n: Column, at: Column, other: Column) -> Column:
+    """Whether sets of n and `other` shingles can reach the threshold if the first shared one has place `at` (from 0) in the set of n."""
+    return (UNDER + OVER) * (n - at) >= OVER * (n + other)
+
+
 def across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members (key, node, n, comp) of a key that lie in different components and may be similar."""
-    a = members.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    b = members.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    return a.join(b, "key").where((F.col("ca") < F.col("cb")) & similar_size(F.col("na"), F.col("nb"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    """Pairs (a, b) of members (key, node, n, at, bits, comp) of a key that lie in different components and may be similar."""
+    x = members.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("bits").alias("ba"), F.col("comp").alias("ca"))
+    y = members.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("bits").alias("bb"), F.col("comp").alias("cb"))
+    may = (F.col("ca") < F.col("cb")) & similar_size(F.col("na"), F.col("nb")) & able(F.col("na"), F.col("pa"), F.col("nb")) & able(F.col("nb"), F.col("pb"), F.col("na"))
+    # each odd place where they differ is a shingle of one of them alone: what both can share at most
+    apart = sum((F.bit_count(F.col("ba")[k].bitwiseXOR(F.col("bb")[k])) for k in range(1, PLANES)), F.bit_count(F.col("ba")[0].bitwiseXOR(F.col("bb")[0])))
+    may = may & ((UNDER + OVER) * (F.col("na") + F.col("nb") - apart) >= 2 * OVER * (F.col("na") + F.col("nb")))
+    return x.join(y, "key").where(may).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def by_prefix(sets: DataFrame, comps: DataFrame) -> DataFrame:
-    """Exact candidates among sets: pairs of different components that share one of their rarest n - ceil(0.75 n) + 1 shingles.
+    """Exact candidates among sets: pairs of different components whose first shared shingle, rarest first, comes early
+    enough in both for the threshold (at latest at n - ceil(0.75 n); where the other's size is near n, at a seventh of n).
 
-    Ranks come from counts over these sets. Shingles that one component alone has are no meeting place, so a large group of
-    copies that is one component brings no pairs of its own.
+    Counts are over these sets; shingles of one set only take the first places and never move again. What many texts have
+    in common comes last, so texts around one passage or one base don't meet on it. Shingles that one component alone has
+    are no meeting place, so a large group of copies that is one component brings no pairs of its own.
     """
-    import pandas as pd
 
     def unpack(batches):
+        import pyarrow as pa
+
         for b in batches:
-            for node, n, s in zip(b["node"], b["n"], b["s"]):
-                values = np.frombuffer(s, np.int64)
+            for node, n, s in zip(b.column("node").to_pylist(), b.column("n").to_pylist(), b.column("s")):
+                values = np.frombuffer(s.as_py(), np.int64)
                 for lo in range(0, len(values), 65536):
                     part = values[lo : lo + 65536]
-                    yield pd.DataFrame({"node": node, "n": n, "t": part})
+                    yield pa.RecordBatch.from_pydict({"node": np.full(len(part), node, np.int64), "n": np.full(len(part), n, np.int64), "t": part})
 
-    each = sets.mapInPandas(unpack, "node long, n long, t long")
-    counts = each.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    ranked = each.join(counts, "t").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "t"))).alias("x"))  # a set
-    prefix = ranked.select("node", "n", F.explode(F.expr(f"slice(x, 1, cast(n - ceil({OVER} * n / {UNDER}) + 1 AS int))")).alias("x"))
-    members = written(labelled(prefix.where("x.df > 1").select(F.col("x.t").alias("key"), "node", "n"), comps), "prefixes")
-    return across(members.join(open_keys(members).select("key"), "key"))
+    each = sets.select("node", "n", "s").mapInArrow(unpack, "node long, n long, t long")
+    counts = written(each.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts")
+    shared = maybe_in(each, counts, "t").where("_maybe").drop("_maybe").join(counts, "t")
+    ranked = shared.groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "t"))).alias("x"))  # a set
+    placed = ranked.select("node", "n", (F.col("n") - F.size("x")).alias("own"), F.posexplode("x").alias("at", "x")).withColumn("at", F.col("at") + F.col("own"))
+    prefix = placed.where(UNDER * (F.col("n") - F.col("at")) >= OVER * F.col("n")).select(F.col("x.t").alias("key"), "node", "n", "at")
+    members = written(labelled(prefix, comps), "prefixes")
+    return across(members.join(open_keys(members).select("key"), "key").join(sets.select("node", "bits"), "node"))
 
 
-def linked(docs: DataFrame, tables: int = TABLES, band: int = BAND, few: int = FEW, turns: int = TURNS) -> DataFrame:
+def linked(docs: DataFrame, tables: int = TABLES, band: int = BAND, turns: int = TURNS) -> DataFrame:
     """A row a document: doc_id, cls, n_shingles, component_id, kept."""
     rows = written(signed(docs, tables, band), "signed")
     classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c"), F.first("bands").alias("bands"))
@@ -264,7 +282,7 @@ def linked(docs: DataFrame, tables: int = TABLES, band: int = BAND, few: int = F
     links = tried = None
     comps = classes.sparkSession.createDataFrame([], "node long, comp long")
     for turn in range(turns):
-        pairs = star(members, turn, tried)
+        pairs = star(members, turn)
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         found = confirmed(pairs, sets)
         tried = pairs if tried is None else tried.unionByName(pairs)
@@ -274,11 +292,8 @@ def linked(docs: DataFrame, tables: int = TABLES, band: int = BAND, few: int = F
         members = written(now.join(open_keys(now).select("key"), "key", "left_semi"), "members")
         if members.isEmpty():
             break
-    size = open_keys(members)
-    more = across(members.join(size.where(F.col("members") <= few).select("key"), "key", "left_semi"))
-    large = written(members.join(size.where(F.col("members") > few).select("key"), "key", "left_semi").select("node").distinct(), "large")
-    if not large.isEmpty():
-        more = more.unionByName(by_prefix(sets.join(large, "node", "left_semi"), comps)).distinct()
+    left = sets.join(members.select("node").distinct(), "node", "left_semi")
+    more = by_prefix(left, comps)
     more = written(more.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
     comps = components(links.unionByName(confirmed(more, sets)))
     named = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

@@ -124,8 +124,8 @@ def test_near_dedup_cases(docs, none):
     assert near_dedup.near_dedup(docs).columns == docs.columns
 
 
-@pytest.mark.parametrize("few, turns", [(near_dedup.FEW, near_dedup.TURNS), (2, 1)], ids=["pairs", "prefix"])
-def test_near_dedup_against_all_pairs(spark, few, turns):
+@pytest.mark.parametrize("turns", [near_dedup.TURNS, 1])
+def test_near_dedup_against_all_pairs(spark, turns):
     """Copies at many distances, and texts that only share a passage: keys of many unlinked members."""
     rng, rows = random.Random(4), []
     passage = prose(99, 60)
@@ -133,7 +133,7 @@ def test_near_dedup_against_all_pairs(spark, few, turns):
         words = prose(100 + base, 120).split()
         rows += [(len(rows) + k, edited(words, rng, k % 7)) for k in range(9)]
     rows += [(1000 + k, passage + " " + prose(500 + k, 12 + k % 30)) for k in range(60)]
-    got = sorted(map(tuple, near_dedup.linked(docs_of(spark, rows), few=few, turns=turns).select("doc_id", "n_shingles", "component_id", "kept").collect()), key=str)
+    got = sorted(map(tuple, near_dedup.linked(docs_of(spark, rows), turns=turns).select("doc_id", "n_shingles", "component_id", "kept").collect()), key=str)
     assert got == plain_components(rows)
 
 
@@ -142,7 +142,7 @@ def test_prefixes_lose_no_link(spark):
     rows = [(k, edited(prose(k // 6, 80).split(), rng, k % 5)) for k in range(60)]
     sets = plain_sets(rows)
     data = [(k, len(s), np.array(sorted(hash(x) & (2**63 - 1) for x in s), np.int64).tobytes()) for k, s in enumerate(sets)]
-    df = spark.createDataFrame([(c, n, bytearray(s)) for c, n, s in data], "node long, n long, s binary")
+    df = spark.createDataFrame([(c, n, bytearray(s), near_dedup.parities(np.frombuffer(s, np.uint64))) for c, n, s in data], "node long, n long, s binary, bits array<long>")
     comps = spark.createDataFrame([], "node long, comp long")
     got = {(r.a, r.b) for r in near_dedup.by_prefix(df, comps).collect()}
     want = {(a, b) for a in range(60) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
