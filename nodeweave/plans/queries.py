@@ -294,3 +294,37 @@ def _laplacian(spark, phs):
     w = stencils.operators(nodes, nodes, ["lap"], 2, 13, 2, 0.1, phs)
     u = nodes.select("id", (F.col("pos")[0] * F.col("pos")[0] + F.col("pos")[1] * F.col("pos")[1]).alias("v"))
     return coo.spmv(w.select("row", "col", F.col("lap").alias("val")), u)
+
+
+# --- supports, rates and solves
+
+
+@query(f"WITH {_PAIRS} SELECT q, {q('sum((1 - s)**6 * (1 + 6*s + 35*s*s/3))')} AS total FROM (SELECT q, sqrt(d2) / 1.2::DOUBLE AS s FROM p) WHERE s < 1 GROUP BY q")
+def wendland_row_sums(spark, d):
+    v = vectors(spark, d)
+    near = spatial.ball(v, v, 1.2, 64).select("q", (F.sqrt("d2") / 1.2).alias("s")).where("s < 1")
+    return near.groupBy("q").agg(quantised(F.sum(scalar.wendland_c4("s"))).alias("total"))
+
+
+@query(f"WITH {_PAIRS} SELECT {q('1 - (SELECT count(*) FROM p WHERE sqrt(d2) < 1.2)::DOUBLE / ((SELECT count(*) FROM embeddings)::DOUBLE * (SELECT count(*) FROM embeddings))')} AS sparsity")
+def support_sparsity(spark, d):
+    v = vectors(spark, d)
+    held = spatial.ball(v, v, 1.2, 64).where(F.sqrt("d2") < 1.2).agg(F.count(F.lit(1)).cast("double").alias("held"))
+    return held.crossJoin(v.agg(F.count(F.lit(1)).cast("double").alias("n"))).select(quantised(1 - F.col("held") / (F.col("n") * F.col("n"))).alias("sparsity"))  # one row each
+
+
+@query()
+def poisson_square(spark, d):
+    """u = exp(x + 0.35 y) on [-1, 1]^2 from its Laplacian and its boundary values: (id, v, e), e the error."""
+    from nodeweave.operators import solvers
+
+    n, h = 17, 0.125
+    at = [F.floor(F.col("id") / n) * h - 1, (F.col("id") % n) * h - 1]
+    out = [F.when(x == -1, -1.0).when(x == 1, 1.0).otherwise(0.0) for x in at]
+    grid = spark.range(n * n).select("id", F.array(*at).alias("pos"), scalar.normalised(F.array(*out)).alias("normal"))
+    grid = grid.withColumns({"kind": F.when(scalar.norm("normal") > 0, "boundary").otherwise("interior"), "owner": F.lit(None).cast("long")})
+    ghosts = grid.where("kind = 'boundary'").select((F.col("id") + n * n).alias("id"), scalar.ghost("pos", "normal", 0.5 * h).alias("pos"), F.col("normal"), F.lit("ghost").alias("kind"), F.col("id").alias("owner"))
+    exact = lambda p: F.exp(p[0] + 0.35 * p[1])
+    nodes = grid.unionByName(ghosts)
+    got = solvers.poisson(nodes, lambda p: 1.1225 * exact(p), lambda p, nu: exact(p), width=0.4)
+    return nodes.where("kind <> 'ghost'").select("id", "pos").join(got, "id").select("id", "v", (F.col("v") - exact(F.col("pos"))).alias("e"))
