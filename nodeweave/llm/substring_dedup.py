@@ -1,8 +1,9 @@
 """Substring dedup by hashing of lines and sentences.
 
-Units end after a line feed or after `.`, `!` or `?`. A unit's digest is that of its words in lower case, joined by single
-spaces; units of fewer than MIN_WORDS words are left alone. Of all units with one digest, that of the least (doc_id, start)
-stays, null ids last; the others are removed, as code-point offsets of the original text.
+Units are lines, which end after line feeds, and sentences, which end after `.`, `!`, `?` or line feeds. A unit's digest is
+that of its words in lower case, joined by single spaces; units of fewer than MIN_WORDS words are left alone, unless a
+removed line holds them. Of all units with one digest, that of the least (doc_id, start) stays, null ids last; the others
+are removed, as code-point offsets of the original text. Spans that overlap are merged, those that only touch are not.
 
 Defined cases: null text counts as empty; rows that share an id are one document, whose spans are listed once; rows that
 repeat an id and text hold one occurrence, so none removes the other; an empty table gives an empty one; other columns are
@@ -14,21 +15,21 @@ from __future__ import annotations
 import hashlib
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nodeweave.llm.common import with_groups, written
 
 MIN_WORDS = 5
-_UNIT = re.compile(r"[^\n.!?]*[\n.!?]+|[^\n.!?]+")
+_UNIT, _LINE = re.compile(r"[^\n.!?]*[\n.!?]+|[^\n.!?]+"), re.compile(r"[^\n]+\n*")
 
 
 def spans_of(text: str, least: int = MIN_WORDS):
-    """(start, end, digest) of a text's units."""
-    for m in _UNIT.finditer(text):
-        words = m[0].lower().split()
+    """(start, end, digest) of a text's units, by start."""
+    for start, end in sorted({m.span() for unit in (_UNIT, _LINE) for m in unit.finditer(text)}):
+        words = text[start:end].lower().split()
         if len(words) >= least:
-            yield m.start(), m.end(), hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()
+            yield start, end, hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()
 
 
 def units(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
@@ -62,9 +63,17 @@ def removed(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     return met.where(~first).select("doc_id", "start", "stop")
 
 
+def merged(spans: DataFrame) -> DataFrame:
+    """Spans (doc_id, start, stop), those of a document that overlap as one."""
+    by = Window.partitionBy("doc_id").orderBy("start", "stop")
+    reach = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    new = spans.withColumn("_new", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("long"))
+    return new.withColumn("_run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_run")
+
+
 def deduplicated(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """A row a document: doc_id, n_removed, removed_chars, spans (start:end, comma-joined)."""
-    gone = removed(docs, least).distinct().groupBy("doc_id").agg(
+    gone = merged(removed(docs, least).distinct()).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_removed"), F.sum(F.col("stop") - F.col("start")).alias("removed_chars"), F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("s")
     )
     ids = docs.select("doc_id").distinct()

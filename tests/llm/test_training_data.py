@@ -426,6 +426,15 @@ def test_substring_dedup(spark, docs, none):
     assert substring_dedup.deduplicated(none).count() == 0
 
 
+def test_substring_dedup_removes_whole_lines(spark):
+    """Repeated lines with short sentences in them go whole, as one span each."""
+    line, short = "Thth atouen and thwhedble. Ti.\n", "Go on. So it is! Or not?"
+    rows = [(1, "First of all.\n" + line + short), (2, line + "something of its own"), (3, "New. " + short + "\n" + short), (4, "Is it a line of five? Ti.\n" + line)]
+    got = {r.doc_id: (r.n_removed, r.removed_chars, r.spans) for r in substring_dedup.deduplicated(docs_of(spark, rows)).collect()}
+    a, b = len("New. " + short + "\n"), len("New. " + short + "\n" + short)
+    assert got == {1: (0, 0, ""), 2: (1, 31, "0:31"), 3: (1, b - a, f"{a}:{b}"), 4: (1, 31, "26:57")}
+
+
 def test_filter_on_rules_is_planned_once(docs):
     """A filter on kept stays above the measures: pushed below, planning took minutes."""
     began = time.time()
