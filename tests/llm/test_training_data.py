@@ -435,6 +435,49 @@ def test_substring_dedup_removes_whole_lines(spark):
     assert got == {1: (0, 0, ""), 2: (1, 31, "0:31"), 3: (1, b - a, f"{a}:{b}"), 4: (1, 31, "26:57")}
 
 
+def plain_passages(rows, window):
+    """Words of runs of `window` words that an earlier document has, as merged spans."""
+    first, spans = {}, defaultdict(list)
+    for i, t in sorted(rows, key=lambda r: key(r[0])):
+        at = [m.span() for m in re.finditer(r"\S+", t or "")]
+        spans[i] += []
+        for k in range(len(at) - window + 1):
+            if first.setdefault(tuple(t[a:b].lower() for a, b in at[k : k + window]), i) != i:
+                spans[i].append((at[k][0], at[k + window - 1][1]))
+    return {i: merged_plainly(s) for i, s in spans.items()}
+
+
+def merged_plainly(spans):
+    out = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return [tuple(x) for x in out]
+
+
+def test_substring_dedup_finds_passages(spark, none, tmp_path):
+    """Repeats of 50 words, from mid-sentence on and with short sentences in them, go whole; windows of six words against plain code."""
+    passage = "and so they went. Far off. " + prose(31, 44).replace(" ", ". ", 3)
+    assert len(passage.split()) == 50
+    rows = [(1, "Here he stood " + passage + " until noon."), (2, "There " + passage.upper() + "\nwhich nobody saw."), (3, "There too " + passage.rsplit(" ", 1)[0] + " elsewhere.")]
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.spans for r in substring_dedup.op2(spark, str(tmp_path)).collect()}
+    assert got == {1: "", 2: f"6:{6 + len(passage)}", 3: ""}
+
+    rng = random.Random(8)
+    pool = [prose(900 + k, 12) for k in range(12)]
+    cut = lambda: rng.choice(pool).split()[rng.randint(0, 4) : rng.randint(5, 12)]
+    many = [(k % 37 if k % 9 else None, " ".join(w for _ in range(rng.randint(0, 9)) for w in cut())) for k in range(60)] + [(40, "la " * 300), (41, "la " * 200), (None, "la " * 9)]
+    for some, window, gram in ((rows, 50, 20), (ROWS, 50, 20), (many, 6, 2), (many, 7, 3), (many, 9, 9)):
+        spans = defaultdict(list)
+        for r in substring_dedup.passages(docs_of(spark, some), window, gram).collect():
+            spans[r.doc_id].append((r.start, r.stop))
+        assert {i: merged_plainly(s) for i, s in spans.items()} == {i: s for i, s in plain_passages(some, window).items() if s}
+    assert substring_dedup.deduplicated(none, window=50).count() == 0
+
+
 def test_filter_on_rules_is_planned_once(docs):
     """A filter on kept stays above the measures: pushed below, planning took minutes."""
     began = time.time()
