@@ -2,8 +2,10 @@
 
 Both models are bigram models over character classes of a fixed alphabet, trained with add-one smoothing from labelled
 samples (text, label: 1 for random). A candidate is a run of at least MIN_LENGTH characters of `[A-Za-z0-9+/_=-]` with a
-letter and a digit in it; its score is the mean log-likelihood ratio a character, and it is a finding of kind `markov` if
-the score exceeds the threshold and no base span overlaps it. Base spans always stay.
+letter in it; its score is the mean log-likelihood ratio a character, and it is a finding of kind `markov` if the score
+exceeds the threshold. A run ends where an assignment begins, which reaches to its end anyway. A run that base spans cover
+is no finding; one that they cover in part is scored whole, so that findings may overlap, and else the parts outside them
+are, each as a candidate. Base spans always stay.
 
 Defined cases: null text counts as empty; no findings give counts of 0 and empty spans; offsets are code points, the end
 exclusive; repeated rows are scanned each on its own; an empty table gives an empty one; other columns pass `redacted`.
@@ -25,7 +27,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # greedy runs: the same as `AKIA[A-Z
 _HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_LENGTH, THRESHOLD = 20, 0.35
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH)
-_MIXED = re.compile(r"(?=.*[A-Za-z])(?=.*[0-9])", re.S)
+_LETTER = re.compile(r"[A-Za-z]")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Parts of ordinary identifiers for the default labelled samples.
 PARTS = """user name file path read write open close list index count total value key data base type class main test run
@@ -90,12 +92,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def all_spans(text: str, model: MarkovPair, threshold: float = THRESHOLD) -> tuple[list, list]:
     """Base spans, and those with the model's added."""
     base = base_spans(text)
-    more, k, reach = [], 0, -1
+    more, k, live = [], 0, []
+
+    def random_at(a: int, b: int) -> bool:
+        return b - a >= MIN_LENGTH and _LETTER.search(text, a, b) is not None and model.score(text[a:b]) > threshold
+
     for m in _RUN.finditer(text):
-        while k < len(base) and base[k][0] < m.end():
-            reach, k = max(reach, base[k][2]), k + 1
-        if reach <= m.start() and _MIXED.match(m[0]) and model.score(m[0]) > threshold:
-            more.append((m.start(), 3, m.end()))
+        start, end = m.span()
+        live = [x for x in live if x[2] > start]
+        while k < len(base) and base[k][0] < end:
+            live, k = live + [base[k]] if base[k][2] > start else live, k + 1
+        end = min([end, *(x[0] for x in live if x[1] == 0)])
+        parts, at = [], start
+        for a, _, b in live:
+            if a < end:
+                parts.append((at, a))
+                at = max(at, b)
+        parts = [(a, b) for a, b in [*parts, (at, end)] if a < b]
+        if parts:
+            whole = [(start, end)] if random_at(start, end) else [x for x in parts if x != (start, end) and random_at(*x)]
+            more += [(a, 3, b) for a, b in whole]
     return base, sorted(base + more)
 
 
