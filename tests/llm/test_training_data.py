@@ -308,6 +308,27 @@ def test_quality_model(spark, none):
     assert quality_model.scored(none, labels).count() == 0
 
 
+def test_threshold_is_of_all_labels(spark):
+    """With a fit on few rows, as many usable rows are predicted 0 as are labelled 0."""
+    rng = random.Random(12)
+    share = [rng.random() for _ in range(400)]
+    rows = [(k, " ".join(w + "###" * (rng.random() < s) for w in prose(5000 + k, rng.randint(40, 60)).split())) for k, s in enumerate(share)]
+    marks = [(k, int(s < 0.2 + 0.6 * rng.random()), 0) for k, s in enumerate(share)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    usable = [(k, y) for k, y, _ in marks if binascii.crc32(str(k).encode()) % 3 != 1]
+    for few in (15, 25, 40):
+        got = {r.doc_id: r.predicted for r in quality_model.scored(docs_of(spark, rows), labels, rows=few).collect()}
+        assert sum(got[k] == 0 for k, _ in usable) == sum(y == 0 for _, y in usable)
+
+
+def test_quantile(spark):
+    rng = random.Random(3)
+    for values in ([rng.gauss(0, 1) for _ in range(900)], [float(rng.randint(0, 99)) for _ in range(900)], [2.5] * 30, [1.0, 2.0]):
+        df = spark.createDataFrame([(x,) for x in values], "v double")
+        for share in (0.0, 0.37, 1.0):
+            assert quality_model.quantile(df, share, rows=40) == pytest.approx(float(np.quantile(values, share)), abs=1e-12)
+
+
 def test_held_out_labels_have_no_say(spark):
     rows = [(k, prose(k, 40) if k % 2 else "###" * 30) for k in range(200)]
     flip = lambda k: 1 - k % 2 if binascii.crc32(str(k).encode()) % 3 == 1 else k % 2
