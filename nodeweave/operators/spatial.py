@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nodeweave.functions import scalar
+from nodeweave.sources.scratch import saved
 
 
 def cells(points: DataFrame, width: float, dim: int) -> DataFrame:
@@ -161,10 +162,11 @@ def periodic_knn(queries: DataFrame, points: DataFrame, k: int, lengths: list[fl
     while True:
         each = within(open_, images, width, dim).groupBy("q", "p").agg(F.min("d2").alias("d2"))
         got = each.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d2", (F.col("p") != F.col("q")), "p"))).where(F.col("rank") <= k)
+        got = saved(got, "near")
         full = got.where(F.col("rank") == k).select(F.col("q").alias("id"))
         done = got.join(full.withColumnRenamed("id", "q"), "q", "left_semi").select("q", "rank", "p", "d2")
         out = done if out is None else out.unionByName(done)
-        open_ = open_.join(full, "id", "left_anti")
-        if k == 0 or width > 2 * max([1.0, *lengths]) or open_.isEmpty():
+        open_ = saved(open_.join(full, "id", "left_anti"), "open")
+        if k == 0 or open_.isEmpty():
             return out
         width *= 2

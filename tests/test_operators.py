@@ -36,6 +36,13 @@ def test_periodic_knn(spark):
         assert [got[i, k + 1] for k in range(3)] == [j for _, j in sorted((wrap(x, y), j) for j, y in rows)[:3]]
 
 
+def test_periodic_knn_goes_as_far_as_it_takes(spark):
+    """An axis of length 0 is not periodic: neighbours along it may be further away than the box is wide."""
+    df = spark.createDataFrame([(0, [0.0, 0.0]), (1, [0.9, 100.0])], "id long, pos array<double>")
+    got = sorted((r.q, r.rank, r.p, round(r.d2, 9)) for r in spatial.periodic_knn(df, df, 2, [1.0, 0.0], 0.1).collect())
+    assert got == [(0, 1, 0, 0.0), (0, 2, 1, 10000.01), (1, 1, 1, 0.0), (1, 2, 0, 10000.01)]
+
+
 def test_independent_set_is_the_sequential_one(spark):
     rows, df = cloud(spark, 150, 2)
     pairs = [(a, b) for a, x in rows for b, y in rows if a < b and d2(x, y) <= 0.01]
