@@ -47,11 +47,11 @@ def box_candidates(spark, count: int, low: list[float], high: list[float], seed:
     return spark.range(count).select("id", F.array(*[F.lit(a) + (b - a) * unit(k) for k, (a, b) in enumerate(zip(low, high))]).alias("pos"))
 
 
-def poisson_disk(spark, radius: float, low: list[float], high: list[float], seed: int, accept: Column | None = None, passes: int = 3, density: float = 6.0) -> DataFrame:
-    """Points of a box at distances of at least radius, filled in passes. accept: a predicate over pos."""
+def poisson_disk(spark, radius: float, low: list[float], high: list[float], seed: int, accept: Column | None = None, passes: int = 4, density: float = 6.0) -> DataFrame:
+    """Points of a box at distances of at least radius, filled in passes of a power of two of candidates, 256 at least. accept: a predicate over pos."""
     dim = len(low)
     volume = math.prod(b - a for a, b in zip(low, high))
-    count = max(16, int(density * volume / radius**dim))
+    count = 1 << (max(256, int(density * volume / radius**dim)) - 1).bit_length()
     kept = None
     for turn in range(passes):
         new = box_candidates(spark, count, low, high, seed * 1000 + turn).withColumn("id", F.col("id") + turn * count)

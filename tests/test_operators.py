@@ -62,6 +62,17 @@ def test_poisson_disk_is_seeded_and_spaced(spark):
     assert all(d2(x, y) >= 0.04 * (1 - 1e-10) for i, x in a for j, y in a if i < j)
 
 
+def test_poisson_disk_takes_four_passes(spark, monkeypatch):
+    """As many passes and candidates as the reference, a pass that adds nothing being the last."""
+    draws, real = [], greedy.box_candidates
+    monkeypatch.setattr(greedy, "box_candidates", lambda spark, count, *a: draws.append(count) or real(spark, count, *a))
+    kept = [r.id for r in greedy.poisson_disk(spark, 0.1, [0.0, 0.0], [1.0, 1.0], seed=19).collect()]
+    assert set(draws) == {1024} and (len(draws) == 4 or max(kept) < 1024 * (len(draws) - 1))
+    draws.clear()
+    greedy.poisson_disk(spark, 0.5, [0.0, 0.0], [1.0, 1.0], seed=19)
+    assert set(draws) == {256}
+
+
 def test_schur_diagonal(spark):
     dense = [[2, 0, 1, 0], [0, 4, 0, 2], [3, 0, 7, 0], [0, 5, 0, 11]]
     a = spark.createDataFrame([(i, j, float(v)) for i, r in enumerate(dense) for j, v in enumerate(r) if v], "row long, col long, val double")
