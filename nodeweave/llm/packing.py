@@ -6,7 +6,9 @@ feasible combination, and that is removed - as many times at once as the counts
 their rank among pieces of their length; ranks come from counts a task and length, so no length meets in one task.
 
 Defined cases: null text counts as empty (one piece: the closing id); repeated rows are packed each on its own; null ids
-pass through; an empty table gives an empty one; other columns are not read.
+pass through; a text longer than a sequence is cut into whole sequences behind a first piece that may be shorter; pieces of
+equal length are interchangeable and take places in order of task and row; an empty table gives an empty one; other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,66 +37,94 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 @functools.lru_cache(2)
 def tokenizer(path: str):
-    """Loaded once a worker process, which has one core."""
+    """Loaded once a worker process, which has one core; as the file gives it, so special strings in a text are special tokens."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 #: Chunks kept with their ids, a worker, in each of two generations: what isn't met again while one fills is forgotten.
 STORED, STORED_LENGTH = 400_000, 64
-_LETTER = "0-9A-Za-zÀ-ÖØ-öø-ɏ"
-_OTHER_BLANK = re.compile(r"[^\S \n]")
-_APART = re.compile(rf"[.,](?<![{_LETTER}].)")
+_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: White space besides the space and the line feed; the second, of texts in ASCII.
+_BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_ASCII_BLANKS = [c for c in _BLANKS if c.isascii()]
+_APART = re.compile(rf"[.,](?<![0-9{_LETTER}].)")
 _TWO = ("  ", "\n\n", " \n", "\n ")
+#: Texts of letters, digits, ASCII signs and common white space only, and the vocabulary's split pattern on those.
+_PLAIN = re.compile(rf"[\n\t\r -~{_LETTER}]*")
+_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s0-9{_LETTER}]+|\s+(?!\S)|\s+")
 
 
 class _Stored(dict):
-    """Chunk to ids, encoded when first asked for."""
+    """Chunk to ids, encoded when first asked for: split here, then by the library's model alone, as a whole Encoding of it
+    takes four times as long. What isn't plain goes through the library as a whole."""
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.old = tokenizer, {}
+        self.tokenizer, self.tokenize, self.old = tokenizer, tokenizer.model.tokenize, {}
+        plain = map(chr, [*range(0x250)])
+        self.letters = {ord(c): "".join(p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(c)) for c in plain if _PLAIN.fullmatch(c)}
+
+    def of_part(self, part: str) -> bytes:
+        ids = [t.id for t in self.tokenize(part.translate(self.letters))]
+        return pack(f"<{len(ids)}I", *ids)
 
     def encoded(self, text: str) -> bytes:
+        if _PLAIN.fullmatch(text):
+            return b"".join(map(self.of_part, _PARTS.findall(text)))
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return pack(f"<{len(ids)}I", *ids)
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.old.get(chunk) or self.encoded(chunk if chunk[0] in "\n.," else f" {chunk}")
-        if len(chunk) <= STORED_LENGTH:
+    def made(self, chunk: str) -> bytes:
+        return self.encoded(chunk if chunk[0] in "\n.," else f" {chunk}")
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.old.get(key) or self.made(key)
+        if len(key) <= STORED_LENGTH:
             if len(self) >= STORED:
                 self.old = dict(self)
                 self.clear()
-            self[chunk] = ids
+            self[key] = ids
         return ids
 
 
+class _Parts(_Stored):
+    """The same for parts of texts, spaces included."""
+
+    made = _Stored.of_part
+
+
 class Encoder:
     """Ids of texts as little-endian uint32 bytes, by the tokenizers library.
 
     The vocabulary's split never joins a character that is no white space with white space after it, nor a letter or digit
     with a stop or comma after it. Texts are cut there and each distinct chunk is encoded once while it is stored. A chunk's
     leading space is left out of its key, as only the text's first chunk and those of a line feed, stop or comma have none.
-    Texts with other or doubled white space, or a stop or comma after anything else, are encoded whole.
+    Texts with doubled white space, or a stop or comma after anything else, are cut by the whole split pattern instead if
+    they are plain; all others, and those with the string of a special token, go through the library as a whole.
     """
 
     def __init__(self, path: str):
-        self.stored = _Stored(tokenizer(path))
+        self.tokenizer = tokenizer(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.stored, self.parts = _Stored(self.tokenizer), _Parts(self.tokenizer)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        find, out = self.stored.__getitem__, []
-        for t in texts:
-            if not t or t[0] in " \n" or t[-1] in " \n" or any(x in t for x in _TWO) or _OTHER_BLANK.search(t) or _APART.search(t):
-                out.append(self.stored.encoded(t))
-            else:
-                first, *rest = t.replace("\n", " \n").replace(".", " .").replace(",", " ,").split(" ")
-                out.append(self.stored.encoded(first) + b"".join(map(find, rest)))
-        return out
+        return list(map(self.one, texts))
+
+    def one(self, t: str) -> bytes:
+        if not t:
+            return b""
+        if any(s in t for s in self.special):
+            return np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        other = any(x in t for x in (_ASCII_BLANKS if t.isascii() else _BLANKS))
+        if other or t[0] in " \n" or t[-1] in " \n" or any(x in t for x in _TWO) or _APART.search(t):
+            return b"".join(map(self.parts.__getitem__, _PARTS.findall(t))) if _PLAIN.fullmatch(t) else self.stored.encoded(t)
+        first, *rest = t.replace("\n", " \n").replace(".", " .").replace(",", " ,").split(" ")
+        return self.stored.encoded(first) + b"".join(map(self.stored.__getitem__, rest))
 
 
 def fullest(room: int, available: list[tuple[int, int]]) -> dict[int, int]:

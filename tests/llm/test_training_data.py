@@ -396,12 +396,15 @@ def check_packing(rows, texts, t):
 def test_packing(spark, none):
     t = packing.tokenizer(packing.vocabulary_path())
     rows = [(i, x) for i, x in ROWS[:8] + ROWS[11:16] if i is not None] + [(100 + k, prose(k, 20 + 9 * (k % 60))) for k in range(400)]
+    rows += [(600, prose(7, 30_000)), (601, "".join(chr(97 + k * k % 26) for k in range(9000)))]
     texts = dict(rows)
     got = packing.packed(docs_of(spark, rows, extra=True).repartition(4), packing.vocabulary_path()).collect()
     n, least = check_packing(got, texts, t)
     assert n <= least + 2
     assert packing.packed(none, packing.vocabulary_path()).count() == 0
     assert packing.packed(docs_of(spark, [(None, None), (None, "a")]), packing.vocabulary_path()).count() == 2
+    again = packing.packed(docs_of(spark, [(1, "a b"), (1, "a b"), (1, None)]), packing.vocabulary_path()).collect()
+    assert sorted((r.doc_id, r.length) for r in again) == [(1, 1), (1, 3), (1, 3)] and len({(r.sequence_id, r.offset) for r in again}) == 3
 
 
 def test_fullest_against_brute_force():
@@ -417,10 +420,27 @@ def test_fullest_against_brute_force():
         assert sum(n * k for n, k in got.items()) == best
 
 
-def test_chunks_encode_as_whole():
-    t, e, rng = packing.tokenizer(packing.vocabulary_path()), packing.Encoder(packing.vocabulary_path()), random.Random(3)
-    texts = ["".join(rng.choices(["a", "Z", "9", " ", "  ", "\n", "'s", "é", "日", "!", "<|endoftext|>"] + ["\t", " ", "\x1c"] * (k % 2), k=60)) for k in range(300)]
+def test_chunks_encode_as_whole(tmp_path):
+    """Ids equal those of an unmodified tokenizer, special strings included."""
+    from tokenizers import Tokenizer
+
+    t, e, rng = Tokenizer.from_file(packing.vocabulary_path()), packing.Encoder(packing.vocabulary_path()), random.Random(3)
+    some = ["a", "Z", "9", " ", "  ", "\n", "'s", "'", "é", "×", "日", "!", ".", ",", "..", " ,", "$$$", " <|endoftext|>"]
+    for k in range(1500):
+        alphabet = rng.sample(some, 6) + ["a", " ", "é"] + ["\t", "\r", "\u3000", "\x1c"] * (k % 5 == 0)
+        x = "".join(rng.choices(alphabet, k=rng.randint(0, 40)))
+        assert e.one(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), x
+    assert len(e.one("x <|endoftext|> y")) == 4 * 4
+
+
+def test_chunks_are_forgotten(monkeypatch):
+    monkeypatch.setattr(packing, "STORED", 7)
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(packing.vocabulary_path()), packing.Encoder(packing.vocabulary_path())
+    texts = [prose(k, 30) for k in range(40)] + ["a " + "long" * 5000 + " z"]
     assert e.encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert len(e.stored) <= 7 and max(map(len, e.stored)) <= packing.STORED_LENGTH
 
 
 # --- quality rules
