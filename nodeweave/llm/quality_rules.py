@@ -1,8 +1,9 @@
 """Quality rules: a threshold table compiled into Spark projections, without user functions.
 
 Defined cases: null or blank text has no words and fails; an empty table gives an empty one; repeated rows are judged
-each on its own; extra columns pass through `quality_rules` unless they bear one of its own column names, in which case
-the measure replaces them.
+each on its own; very long texts are one row's arrays, a few times the text in memory; extra columns pass through
+`quality_rules` unless they bear one of its own column names (in letters of either case), in which case the measure
+replaces them.
 """
 
 from __future__ import annotations
@@ -57,42 +58,48 @@ def compiled(rules: tuple[Rule, ...] = RULES):
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_shouted"]
 
 
+def _others(docs: DataFrame, names) -> list[str]:
+    return [c for c in docs.columns if c.lower() not in names]
+
+
 def measured(docs: DataFrame) -> DataFrame:
-    """docs with MEASURES. Arrays that lambdas read are columns of an earlier projection, so they're built once a row."""
-    own = [c for c in docs.columns if c not in MEASURES]
+    """docs with MEASURES. The input's columns travel in one struct, `row`, so that no name meets another; arrays that
+    lambdas read are columns of an earlier projection, so they're built once a row.
+
+    The measures come out of a generator of one row: a filter on them stays above it. Pushed below, it would repeat the
+    nested measures in itself until planning never ends.
+    """
+    own = _others(docs, MEASURES)
     stop = sorted({w for x in STOP_WORDS.values() for w in x.split()})
     text = F.coalesce(F.col("text"), F.lit(""))
-    a = docs.select(*own, text.alias("_t"), words(F.col("text")).alias("_w"), F.split(text, "\n", -1).alias("_l"))
+    a = docs.select(F.struct(*own).alias("row"), text.alias("t"), words(F.col("text")).alias("w"), F.split(text, "\n", -1).alias("l"))
     a = a.select(
-        *own, "_t", "_w", F.filter("_l", lambda x: blank_free(x) != "").alias("_l"),
-        F.expr("CASE WHEN size(_w) < 3 THEN cast(array() AS array<string>) ELSE transform(slice(_w, 1, size(_w) - 2), (x, i) -> concat(x, ' ', _w[i + 1], ' ', _w[i + 2])) END").alias("_g"),
+        "row", "t", "w", F.filter("l", lambda x: blank_free(x) != "").alias("l"),
+        F.expr("CASE WHEN size(w) < 3 THEN cast(array() AS array<string>) ELSE transform(slice(w, 1, size(w) - 2), (x, i) -> concat(x, ' ', w[i + 1], ' ', w[i + 2])) END").alias("g"),
     )
     # windows in sorted order, for texts that repeat any
-    a = a.withColumn("_s", F.expr("CASE WHEN size(_g) = size(array_distinct(_g)) THEN NULL ELSE sort_array(transform(_g, (g, i) -> struct(g, i))) END"))
-    at = "sort_array(transform(filter(_s, (x, k) -> (k > 0 AND _s[k - 1].g = x.g) OR (k < size(_s) - 1 AND _s[k + 1].g = x.g)), x -> x.i))"
-    covered = f"CASE WHEN _s IS NULL THEN 0L ELSE aggregate({at}, struct(0L AS n, -3 AS p), (y, i) -> struct(y.n + least(3, i - y.p) AS n, i AS p), y -> y.n) END"
-    return a.select(
-        *own,
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(blank_free(F.col("_t"))).cast("long").alias("word_chars"),
-        (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.expr(covered).alias("n_repeat_words"),
-        F.size("_l").cast("long").alias("n_lines"),
-        F.size(F.filter("_w", lambda w: F.lower(w).isin(stop))).cast("long").alias("n_stop_words"),
-        F.size(F.filter("_w", lambda w: (F.upper(w) == w) & (F.lower(w) != w))).cast("long").alias("n_shouted"),
-    )
+    a = a.withColumn("s", F.expr("CASE WHEN size(g) = size(array_distinct(g)) THEN NULL ELSE sort_array(transform(g, (x, i) -> struct(x AS g, i AS i))) END"))
+    at = "sort_array(transform(filter(s, (x, k) -> (k > 0 AND s[k - 1].g = x.g) OR (k < size(s) - 1 AND s[k + 1].g = x.g)), x -> x.i))"
+    covered = f"CASE WHEN s IS NULL THEN 0L ELSE aggregate({at}, struct(0L AS n, -3 AS p), (y, i) -> struct(y.n + least(3, i - y.p) AS n, i AS p), y -> y.n) END"
+    measures = [
+        F.size("w").cast("long"),
+        F.length(blank_free(F.col("t"))).cast("long"),
+        (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long"),
+        (F.size("l") - F.size(F.array_distinct("l"))).cast("long"),
+        F.expr(covered),
+        F.size("l").cast("long"),
+        F.size(F.filter("w", lambda w: F.lower(w).isin(stop))).cast("long"),
+        F.size(F.filter("w", lambda w: (F.upper(w) == w) & (F.lower(w) != w))).cast("long"),
+    ]
+    made = F.struct(*[m.alias(n) for m, n in zip(measures, MEASURES)])
+    return a.select("row", F.inline(F.array(made))).select("row.*", *MEASURES)
 
 
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with the measures, base_failed and kept.
-
-    The row number that kept asks for holds a filter on kept above the projection: pushed below, it would repeat the nested
-    measures in itself until planning never ends.
-    """
-    return measured(docs.drop("base_failed", "kept")).withColumns({
-        "base_failed": F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"), "kept": compiled(rules),
-    }).withColumn("kept", F.col("kept") & ~F.col("base_failed") & (F.monotonically_increasing_id() >= 0))
+    """docs with the measures, base_failed and kept."""
+    rows = measured(docs.select(*_others(docs, ("base_failed", "kept"))))
+    failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
+    return rows.select("*", failed.alias("base_failed"), (compiled(rules) & ~failed).alias("kept"))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

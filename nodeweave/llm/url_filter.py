@@ -5,7 +5,8 @@ rows at most, however long the list is; a fuller filter passes more rows to the
 
 Defined cases: a null url, or one without ://, has empty host and path, fits no rule, and is listed nowhere: allow;
 repeated rows are judged each on its own; repeated or null list entries count once or not; empty tables give empty ones;
-extra columns pass through, those named like a result column are replaced.
+of equally long rules that fit, the last by text wins; very long urls are urls like others; extra columns pass through,
+those named like a result column (in letters of either case) are replaced.
 """
 
 from __future__ import annotations
@@ -13,15 +14,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nodeweave.llm.common import maybe_in
+from nodeweave.llm.common import split_by, with_groups, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host and path) of the query's rules.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
 
-def host_path(url: Column) -> tuple[Column, Column]:
-    after = F.when(F.instr(url, "://") > 0, F.expr("substring(_u, instr(_u, '://') + 3)")).otherwise("")
+def host_path(url: str) -> tuple[Column, Column]:
+    """Of the column `url`, which has no nulls."""
+    after = F.when(F.instr(url, "://") > 0, F.expr(f"substring({url}, instr({url}, '://') + 3)")).otherwise("")
     bare = F.regexp_extract(after, r"^([^?#]*)", 1)
     host = F.translate(F.regexp_extract(bare, r"^([^/]*)", 1), UPPER, LOWER)
     return host, F.regexp_extract(bare, r"^[^/]*((?s:.*))$", 1)
@@ -32,12 +34,15 @@ def canonical(host: Column, path: Column) -> Column:
     return F.when(host != "", F.concat(F.regexp_replace(host, r"^www\.", ""), F.regexp_replace(path, "/+$", "")))
 
 
+MADE = ("host", "path", "canonical", "rule", "verdict")
+
+
 def parsed(pages: DataFrame, url: str = "url") -> DataFrame:
-    """pages with host, path and canonical."""
-    own = [c for c in pages.columns if c not in ("host", "path", "canonical")]
-    host, path = host_path(F.col("_u"))
-    rows = pages.withColumn("_u", F.coalesce(F.col(url), F.lit("")))
-    return rows.select(*own, host.alias("host"), path.alias("path")).withColumn("canonical", canonical(F.col("host"), F.col("path")))
+    """row (a struct of the columns of pages that aren't MADE here), host, path and canonical."""
+    own = [c for c in pages.columns if c.lower() not in MADE]
+    host, path = host_path("u")
+    rows = pages.select(F.struct(*own).alias("row"), F.coalesce(F.col(url), F.lit("")).alias("u")).select("row", host.alias("host"), path.alias("path"))
+    return rows.withColumn("canonical", canonical(F.col("host"), F.col("path")))
 
 
 def ruled(rows: DataFrame, rules=RULES) -> DataFrame:
@@ -52,15 +57,14 @@ def ruled(rows: DataFrame, rules=RULES) -> DataFrame:
 
 def url_filter(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     """pages with host, path, canonical, rule and verdict. listed: canonical URLs to block, in a column `canonical`."""
-    rows = ruled(parsed(pages.drop("rule", "verdict")), rules)
-    block = listed.select("canonical").where(F.col("canonical").isNotNull()).distinct()
-    open_ = rows.where(F.col("verdict").isNull())
-    maybe = maybe_in(open_, block, "canonical")
-    hits = maybe.where("_maybe").drop("_maybe")
-    exact = hits.join(block.withColumn("_listed", F.lit(True)), "canonical", "left")
-    exact = exact.withColumn("verdict", F.when(F.col("_listed"), "block").otherwise("allow")).drop("_listed")
-    free = maybe.where(~F.col("_maybe")).drop("_maybe").withColumn("verdict", F.lit("allow"))
-    return rows.where(F.col("verdict").isNotNull()).unionByName(free).unionByName(exact.select(*rows.columns))
+    rows = ruled(parsed(pages), rules)
+    counted = listed.where(F.col("canonical").isNotNull()).groupBy("canonical").agg(F.lit(True).alias("listed"))
+    free, maybe = split_by(rows.where(F.col("verdict").isNull()), counted, "canonical")
+    hits = written(maybe, "hits")  # a hot url is dealt out: it has one row in the list
+    sizes = hits.groupBy("canonical").agg(F.count(F.lit(1)).alias("n")).join(counted, "canonical")
+    exact = with_groups(hits, sizes, "canonical", "n", hits.count()).withColumn("verdict", F.when(F.col("listed"), "block").otherwise("allow"))
+    out = rows.where(F.col("verdict").isNotNull()).unionByName(free.withColumn("verdict", F.lit("allow"))).unionByName(exact.select(*rows.columns))
+    return out.select("row.*", *MADE)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
