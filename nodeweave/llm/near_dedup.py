@@ -22,13 +22,14 @@ gives an empty one; other columns pass through `near_dedup`.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nodeweave.llm.common import maybe_in, with_groups, written
+from nodeweave.llm.common import maybe_in, spare, split_by, with_groups, written
 
 WIDTH, TABLES, BAND = 5, 10, 2
 #: The threshold as a ratio of whole numbers, so that it is exact.
@@ -51,6 +52,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
+@functools.lru_cache(8)
 def _odd(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -209,6 +211,12 @@ def open_keys(members: DataFrame) -> DataFrame:
     return span.where("lo <> hi").select("key", "members")
 
 
+def of_keys(members: DataFrame, keys: DataFrame) -> DataFrame:
+    """members with the columns of their keys, for those that keys has. keys: key, members (how many rows it has), more. A
+    key with a large share of the rows is broadcast, so no task gets all of its members."""
+    return with_groups(members, keys, "key", "members", members.count()).where(F.col("members").isNotNull()).drop("members")
+
+
 def star(members: DataFrame, turn: int) -> DataFrame:
     """One pair (a, b) a node at most: b is the center of most of its open keys.
 
@@ -216,12 +224,12 @@ def star(members: DataFrame, turn: int) -> DataFrame:
     vary; later, the least by a hash of the turn.
     """
     if turn == 0:
-        size = members.groupBy("key").agg(F.count(F.lit(1)).alias("w"))
-        fit = members.join(members.select("key", "node").join(size, "key").groupBy("node").agg((-F.sum("w")).alias("h")), "node")
+        size = members.groupBy("key").agg(F.count(F.lit(1)).alias("members")).withColumn("w", F.col("members"))
+        fit = members.join(of_keys(members.select("key", "node"), size).groupBy("node").agg((-F.sum("w")).alias("h")), "node")
     else:
         fit = members.withColumn("h", F.xxhash64("node", F.lit(turn)))
-    center = fit.groupBy("key").agg(F.min(F.struct("h", "node", "comp", "n")).alias("m"))
-    met = members.join(center, "key").where((F.col("comp") != F.col("m.comp")) & similar_size(F.col("n"), F.col("m.n")))
+    center = fit.groupBy("key").agg(F.min(F.struct("h", "node", "comp", "n")).alias("m"), F.count(F.lit(1)).alias("members"))
+    met = of_keys(members, center).where((F.col("comp") != F.col("m.comp")) & similar_size(F.col("n"), F.col("m.n")))
     votes = met.groupBy(F.col("node").alias("a"), F.col("m.node").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     return votes.groupBy("a").agg(F.max(F.struct("c", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
 
@@ -268,7 +276,7 @@ def by_prefix(sets: DataFrame, comps: DataFrame) -> DataFrame:
     placed = ranked.select("node", "n", (F.col("n") - F.size("x")).alias("own"), F.posexplode("x").alias("at", "x")).withColumn("at", F.col("at") + F.col("own"))
     prefix = placed.where(UNDER * (F.col("n") - F.col("at")) >= OVER * F.col("n")).select(F.col("x.t").alias("key"), "node", "n", "at")
     members = written(labelled(prefix, comps), "prefixes")
-    return across(members.join(open_keys(members).select("key"), "key").join(sets.select("node", "bits"), "node"))
+    return across(of_keys(members, open_keys(members)).join(sets.select("node", "bits"), "node"))
 
 
 def linked(docs: DataFrame, tables: int = TABLES, band: int = BAND, turns: int = TURNS) -> DataFrame:
@@ -276,8 +284,8 @@ def linked(docs: DataFrame, tables: int = TABLES, band: int = BAND, turns: int =
     rows = written(signed(docs, tables, band), "signed")
     classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c"), F.first("bands").alias("bands"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    members = table_keys(classes, tables).withColumn("comp", F.col("node"))
-    members = written(members.join(open_keys(members).select("key"), "key", "left_semi"), "members")
+    every = written(table_keys(classes, tables).withColumn("comp", F.col("node")), "keys")
+    members = written(of_keys(every, open_keys(every)), "members")
     sets = written(sets_of(docs, classes.join(members.select("node").distinct(), "node", "left_semi")), "sets")
     links = tried = None
     comps = classes.sparkSession.createDataFrame([], "node long, comp long")
@@ -288,8 +296,8 @@ def linked(docs: DataFrame, tables: int = TABLES, band: int = BAND, turns: int =
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         comps = components(links)
-        now = labelled(members.drop("comp"), comps)
-        members = written(now.join(open_keys(now).select("key"), "key", "left_semi"), "members")
+        now = written(labelled(members.drop("comp"), comps), "keys")
+        members = written(of_keys(now, open_keys(now)), "members")
         if members.isEmpty():
             break
     left = sets.join(members.select("node").distinct(), "node", "left_semi")
@@ -309,10 +317,11 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     An id with several texts goes only if it is kept under none of them; rows that repeat an id and text share the verdict.
     """
-    own = docs.columns
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    lost = linked(docs).groupBy(name("doc_id").alias("_i")).agg(F.max("kept").alias("k")).where("NOT k").select("_i")
-    return docs.withColumn("_i", name("doc_id")).join(lost, "_i", "left_anti").select(*own)
+    own, mark = docs.columns, spare("_name", docs)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    lost = written(linked(docs).groupBy(name.alias(mark)).agg(F.max("kept").alias("k")).where("NOT k").select(mark), "lost")
+    free, maybe = split_by(docs.withColumn(mark, name), lost, mark)
+    return free.unionByName(maybe.join(lost, mark, "left_anti")).select(*own)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
