@@ -7,7 +7,8 @@ central directory from the file's tail, finds the members' data behind their loc
 ranges, each read by one seek.
 
 Defined cases: null html is an empty payload; null ids and urls stay null; rows that repeat both id and payload are all
-written as responses; other columns are not read; an empty table gives no package and an empty result.
+written as responses; line ends in a url are escaped in the record and restored; other columns are not read, whatever
+their names; very long payloads are one record each; an empty table gives no package and an empty result.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import gzip
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zipfile
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from nodeweave.llm.common import maybe_in, scratch, with_groups, written
 
-LEAST_BYTES, RANGE_BYTES = 1000, 4 << 20
+LEAST_BYTES, RANGE_BYTES, PARTITION_BYTES = 1000, 4 << 20, 64 << 20
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -41,12 +43,21 @@ def _page(urn: str | None) -> int | None:
     return int(text) if text else None
 
 
+def _escaped(url: str) -> str:
+    """Without line ends, which would end the header; `_restored` undoes it. A per cent sign before these digits is escaped too."""
+    return re.sub(r"%(?=0A|0D|25)|[\r\n]", lambda m: f"%{ord(m[0]):02X}", url)
+
+
+def _restored(text: str | None) -> str | None:
+    return text if text is None else re.sub(r"%(0A|0D|25(?=0A|0D|25))", lambda m: chr(int(m[1][:2], 16)), text)
+
+
 def record(page_id, url, payload: bytes, digest: str, refers_to=None, revisit: bool = False) -> bytes:
     """One WARC/1.1 record."""
     body = _HTTP if revisit else _HTTP + payload
     head = {"WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": _urn(page_id)}
     if url is not None:
-        head["WARC-Target-URI"] = url.replace("\r", "%0D").replace("\n", "%0A")
+        head["WARC-Target-URI"] = _escaped(url)
     head |= {"WARC-Payload-Digest": f"sha1:{digest}", "X-Payload-Length": str(len(payload))}
     if revisit:
         head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": _urn(refers_to)}
@@ -229,12 +240,15 @@ def records(manifest: DataFrame) -> DataFrame:
                     if not revisit and hashlib.sha1(payload).hexdigest() != said:
                         raise ValueError(f"digest of {head['WARC-Record-ID']} differs")
                     bytes_ = int(head["X-Payload-Length"]) if revisit else len(payload)
-                    rows.append((_page(head["WARC-Record-ID"]), bytes_, said, head["WARC-Type"], _page(head.get("WARC-Refers-To")), head.get("WARC-Target-URI"), None if revisit else payload))
+                    rows.append((_page(head["WARC-Record-ID"]), bytes_, said, head["WARC-Type"], _page(head.get("WARC-Refers-To")), _restored(head.get("WARC-Target-URI")), None if revisit else payload))
                 cols = list(zip(*rows))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"])
 
-    spread = manifest.mapInArrow(list_, "uri string, start long, lengths array<long>").repartition("uri", "start")
+    # a task about PARTITION_BYTES, at least one a core; a given number, as AQE would fold these small rows into one task
+    total = manifest.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    tasks = max(manifest.sparkSession.sparkContext.defaultParallelism, -(-total // PARTITION_BYTES))
+    spread = manifest.mapInArrow(list_, "uri string, start long, lengths array<long>").repartition(int(tasks), "uri", "start")
     return spread.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 
