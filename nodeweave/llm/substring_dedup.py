@@ -1,9 +1,9 @@
-"""Substring dedup by hashing of lines and sentences, and of passages of WINDOW words.
+"""Substring dedup by hashing of lines, and of passages of WINDOW words.
 
-Units are lines, which end after line feeds, and sentences, which end after `.`, `!`, `?` or line feeds. A unit's digest is
-that of its words in lower case, joined by single spaces; units of fewer than MIN_WORDS words are left alone, unless a
-removed line holds them. Of all units with one digest, that of the least (doc_id, start) stays, null ids last; the others
-are removed, as code-point offsets of the original text. Spans that overlap are merged, those that only touch are not.
+Units are lines, line feeds included. A unit's digest is that of its words in lower case, joined by single spaces; lines of
+fewer than MIN_WORDS words are left alone, unless a removed passage holds them. Of all units with one digest, that of the
+least (doc_id, start) stays, null ids last; the others are removed, as code-point offsets of the original text. Spans that
+overlap are merged, those that only touch are not.
 
 Passages are runs of at least WINDOW words, wherever they start or end, that an earlier document (of a lesser doc_id, null
 ids last) has; all are found, short sentences in them included. A window's least hash of GRAM words names it; neighbouring
@@ -11,8 +11,9 @@ windows of one name are a segment. Equal windows have one name, so only segments
 looked at: those that an earlier document has go whole, and only where segments of one name differ are windows compared.
 
 Defined cases: null text counts as empty; rows that share an id are one document, whose spans are listed once; rows that
-repeat an id and text hold one occurrence, so none removes the other; an empty table gives an empty one; other columns are
-not read.
+repeat an id and text hold one occurrence, so none removes the other; a very long text's units move one by one, its words'
+hashes are held at once; an empty table gives an empty one; other columns are not read by `deduplicated` and pass through
+`without_repeats`, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,15 +25,15 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nodeweave.llm.common import with_groups, written
+from nodeweave.llm.common import spare, with_groups, written
 
 MIN_WORDS, WINDOW, GRAM = 5, 50, 20
-_UNIT, _LINE = re.compile(r"[^\n.!?]*[\n.!?]+|[^\n.!?]+"), re.compile(r"[^\n]+\n*")
+_LINE = re.compile(r"[^\n]+\n*")
 
 
 def spans_of(text: str, least: int = MIN_WORDS):
     """(start, end, digest) of a text's units, by start."""
-    for start, end in sorted({m.span() for unit in (_UNIT, _LINE) for m in unit.finditer(text)}):
+    for start, end in (m.span() for m in _LINE.finditer(text)):
         words = text[start:end].lower().split()
         if len(words) >= least:
             yield start, end, hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()
@@ -238,5 +239,38 @@ def deduplicated(docs: DataFrame, least: int = MIN_WORDS, window: int = 0, gram:
     return out.select("doc_id", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("removed_chars", zero).alias("removed_chars"), F.coalesce(text, F.lit("")).alias("spans"))
 
 
+def without_repeats(docs: DataFrame, least: int = MIN_WORDS, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """docs with text cut by its document's spans; n_chars, if there, follows it. Null texts and those of ids with several
+    texts, whose spans are not told apart, stay as they are."""
+    ids, text = spare("_id", docs), F.coalesce("text", F.lit(""))
+    several = docs.groupBy("doc_id").agg(F.min(F.sha2(text, 256)).alias("a"), F.max(F.sha2(text, 256)).alias("b")).where("a < b").select(F.col("doc_id").alias(ids))
+    spans = deduplicated(docs, least, window, gram).where("n_removed > 0").select(F.col("doc_id").alias(ids), F.col("spans").alias(spare("_spans", docs)))
+    spans = written(spans.join(several.withColumnRenamed(ids, "o"), F.col(ids).eqNullSafe(F.col("o")), "left_anti"), "spans")
+    mark = spans.columns[1]
+    rows = docs.join(spans, docs["doc_id"].eqNullSafe(spans[ids]), "left").drop(ids)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            texts = [t if t is None or not s else _cut(t, s) for t, s in zip(b.column("text").to_pylist(), b.column(mark).to_pylist())]
+            names = [n for n in b.schema.names if n != mark]
+            b = b.select(names).set_column(names.index("text"), "text", pa.array(texts, pa.string()))
+            if "n_chars" in names:
+                n = [old if t is None else len(t) for t, old in zip(texts, b.column("n_chars").to_pylist())]
+                b = b.set_column(names.index("n_chars"), "n_chars", pa.array(n, b.schema.field("n_chars").type))
+            yield b
+
+    return rows.mapInArrow(run, docs.schema)
+
+
+def _cut(text: str, spans: str) -> str:
+    out, at = [], 0
+    for start, stop in (map(int, x.split(":")) for x in spans.split(",")):
+        out.append(text[at:start])
+        at = stop
+    return "".join([*out, text[at:]])
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     return deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"), window=WINDOW)
