@@ -119,18 +119,53 @@ def indptr(a: DataFrame, heads: int = 256) -> DataFrame:
     return counts.join(F.broadcast(before), "_h").select("row", (F.col("_b") + F.coalesce(F.sum("c").over(inner), F.lit(0))).alias("indptr"))
 
 
-def schur_diagonal(a: DataFrame, physical: int) -> DataFrame:
-    """Diagonal of a block preconditioner: that of A11, then that of A22 - A21 diag(A11)^-1 A12; block 1 is below `physical`."""
+def schur_diagonal(a: DataFrame, physical: int, boundary: int = 0) -> DataFrame:
+    """Diagonal of a block preconditioner, ids 0 to physical + boundary: that of A11 (block 1 is below `physical`), then
+    that of A22 - A21 diag(A11)^-1 A12. Diagonals below the rounding unit, and those of rows without an entry, count as 1."""
     c = coalesce(a)
+    sound = lambda x: F.when(F.abs(x) < 2.0**-52, 1.0).otherwise(x)
+    d = c.sparkSession.range(physical + boundary).join(diagonal(c), "id", "left").select("id", F.coalesce("v", F.lit(0.0)).alias("v"))
+    d11 = d.where(F.col("id") < physical).select("id", sound(F.col("v")).alias("v"))
     a21 = c.where((F.col("row") >= physical) & (F.col("col") < physical)).select("row", F.col("col").alias("j"), F.col("val").alias("down"))
     a12 = c.where((F.col("row") < physical) & (F.col("col") >= physical)).select(F.col("col").alias("row"), F.col("row").alias("j"), F.col("val").alias("up"))
-    d = diagonal(c)
-    d11 = d.where(F.col("id") < physical).select(F.col("id").alias("j"), F.col("v").alias("d"))
-    less = a21.join(a12, ["row", "j"]).join(d11, "j").where("d <> 0").groupBy("row").agg(F.sum(F.col("up") * F.col("down") / F.col("d")).alias("s"))
-    return d.join(less.withColumnRenamed("row", "id"), "id", "left").select("id", (F.col("v") - F.coalesce("s", F.lit(0.0))).alias("v"))
+    less = a21.join(a12, ["row", "j"]).join(d11.select(F.col("id").alias("j"), F.col("v").alias("d")), "j").groupBy(F.col("row").alias("id")).agg(F.sum(F.col("up") * F.col("down") / F.col("d")).alias("s"))
+    d22 = d.where(F.col("id") >= physical).join(less, "id", "left").select("id", sound(F.col("v") - F.coalesce("s", F.lit(0.0))).alias("v"))
+    return d11.unionByName(d22)
 
 
-def valid_csr(a: DataFrame) -> DataFrame:
-    """One row: whether no position repeats and every value is finite."""
+def valid_csr(a: DataFrame, rows: int | None = None, cols: int | None = None) -> DataFrame:
+    """One row: whether no position repeats, every value is finite and, where sizes are given, every index lies in them."""
     per = a.groupBy("row", "col").agg(F.count(F.lit(1)).alias("c"), F.max(F.isnan("val") | (F.abs("val") == float("inf"))).alias("bad"))
-    return per.agg(F.coalesce(F.min((F.col("c") == 1) & ~F.col("bad")), F.lit(True)).alias("valid"))
+    inside = (F.col("row") >= 0) & (F.col("col") >= 0)
+    for name, n in (("row", rows), ("col", cols)):
+        inside = inside if n is None else inside & (F.col(name) < n)
+    return per.agg(F.coalesce(F.min((F.col("c") == 1) & ~F.col("bad") & inside), F.lit(True)).alias("valid"))
+
+
+def selected(a: DataFrame, mask: Column, offset: int = 0) -> DataFrame:
+    """Entries that fulfil the mask, their rows moved by offset."""
+    return shift(a.where(mask), offset)
+
+
+def row_totals(a: DataFrame) -> DataFrame:
+    """(id, v): each row's entries added up."""
+    return a.groupBy(F.col("row").alias("id")).agg(F.sum("val").alias("v"))
+
+
+def masked_rows(a: DataFrame, flags: DataFrame) -> DataFrame:
+    """Rows whose flag (id, flag) is set; rows without a flag vanish."""
+    return a.join(flags.where("flag").select(F.col("id").alias("row")), "row", "left_semi").select("row", "col", "val")
+
+
+def matrix_power(a: DataFrame, n: int, physical: DataFrame | None = None) -> DataFrame:
+    """A^n, n >= 1, by products; physical (id): only these rows are kept at each step."""
+    keep = (lambda m: m) if physical is None else (lambda m: m.join(physical.select(F.col("id").alias("row")), "row", "left_semi"))
+    out = keep(coalesce(a))
+    for _ in range(n - 1):
+        out = spgemm(out, a)
+    return out.select("row", "col", "val")
+
+
+def overflow(counts: DataFrame, limit: int = 2**31 - 1) -> DataFrame:
+    """One row: whether the entries of all rows exceed what an index type holds."""
+    return counts.agg((F.coalesce(F.count(F.lit(1)), F.lit(0)) > limit).alias("overflow"), F.count(F.lit(1)).alias("entries"))

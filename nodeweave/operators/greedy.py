@@ -47,8 +47,9 @@ def box_candidates(spark, count: int, low: list[float], high: list[float], seed:
     return spark.range(count).select("id", F.array(*[F.lit(a) + (b - a) * unit(k) for k, (a, b) in enumerate(zip(low, high))]).alias("pos"))
 
 
-def poisson_disk(spark, radius: float, low: list[float], high: list[float], seed: int, accept: Column | None = None, passes: int = 4, density: float = 6.0) -> DataFrame:
-    """Points of a box at distances of at least radius, filled in passes of a power of two of candidates, 256 at least. accept: a predicate over pos."""
+def poisson_disk(spark, radius: float, low: list[float], high: list[float], seed: int, accept: Column | None = None, passes: int = 4, density: float = 6.0, fixed: DataFrame | None = None) -> DataFrame:
+    """Points of a box at distances of at least radius, filled in passes of a power of two of candidates, 256 at least, each
+    over what is kept and `fixed` (id, pos), which stays as it is and isn't returned. accept: a predicate over pos."""
     dim = len(low)
     volume = math.prod(b - a for a, b in zip(low, high))
     count = 1 << (max(256, int(density * volume / radius**dim)) - 1).bit_length()
@@ -56,8 +57,9 @@ def poisson_disk(spark, radius: float, low: list[float], high: list[float], seed
     for turn in range(passes):
         new = box_candidates(spark, count, low, high, seed * 1000 + turn).withColumn("id", F.col("id") + turn * count)
         new = new if accept is None else new.where(accept)
-        if kept is not None:
-            near = spatial.within(new, kept, radius, dim).select(F.col("q").alias("id")).distinct()
+        before = kept if fixed is None else fixed.select("id", "pos") if kept is None else kept.unionByName(fixed.select("id", "pos"))
+        if before is not None:
+            near = spatial.within(new, before, radius, dim).select(F.col("q").alias("id")).distinct()
             new = new.join(near, "id", "left_anti")
         new = saved(thinned(saved(new, "draw"), radius, dim, F.xxhash64("id", F.lit(seed))), "kept")
         if new.isEmpty():
@@ -66,23 +68,29 @@ def poisson_disk(spark, radius: float, low: list[float], high: list[float], seed
     return kept if kept is not None else box_candidates(spark, 0, low, high, seed)
 
 
-def farthest_points(points: DataFrame, count: int) -> DataFrame:
-    """count points, each the one farthest from those before it, from the least id on; ties go to the lower id."""
-    from nodeweave.functions.scalar import squared_distance
-
-    state = saved(points.select("id", "pos", F.lit(float("inf")).alias("d2")), "state")
-    last = points.groupBy().agg(F.min(F.struct("id", "pos")).alias("m")).first()["m"]
-    if last is None:
-        return points.select("id")
+def farthest_points(points: DataFrame, count: int, unit: bool = True) -> DataFrame:
+    """Ids of count points, from the one farthest from the mean on, each the farthest from those before; ties go to the
+    lower id. unit: of the points' directions. A job a point: for subsets of some hundred."""
+    from nodeweave.functions.scalar import normalised, squared_distance
+
+    sites = saved(points.select("id", (normalised("pos") if unit else F.col("pos")).alias("pos")), "sites")
+    first = sites.first()
+    if first is None or count < 1:
+        return points.select("id").limit(0)
+    mean = sites.agg(*[F.avg(F.col("pos")[k]).alias(f"_{k}") for k in range(len(first["pos"]))]).first()
+    here = lambda x: F.array(*[F.lit(float(v)) for v in x])
+    best = F.max(F.struct("d2", (-F.col("id")).alias("minus"), "id", "pos")).alias("m")
+    last = sites.withColumn("d2", squared_distance("pos", here(mean))).agg(best).first()["m"]
+    state = sites.withColumn("d2", squared_distance("pos", here(last["pos"])))
     chosen = [last["id"]]
     while len(chosen) < count:
-        here = F.array(*[F.lit(float(x)) for x in last["pos"]])
-        state = saved(state.where(F.col("id") != chosen[-1]).withColumn("d2", F.least("d2", squared_distance("pos", here))), "state")
-        last = state.agg(F.max(F.struct("d2", -F.col("id"), "id", "pos")).alias("m")).first()["m"]
+        state = saved(state.where(F.col("id") != chosen[-1]), "state")
+        last = state.agg(best).first()["m"]
         if last is None:
             break
         chosen.append(last["id"])
-    return points.select("id").where(F.col("id").isin(chosen))
+        state = state.withColumn("d2", F.least("d2", squared_distance("pos", here(last["pos"]))))
+    return points.sparkSession.createDataFrame([(i,) for i in sorted(chosen)], "id long")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -97,3 +105,16 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         label = step.select("id", "label")
         if step.where("was <> label").isEmpty():
             return label
+
+
+def signed_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, label, sign): the component of each node, and the sign of its known values (id, v, null: unknown) there: that
+    of their sum, null where none is known."""
+    label = components(nodes.select("id"), edges)
+    known = label.join(nodes.select("id", "v"), "id").groupBy("label").agg(F.signum(F.sum(F.signum("v"))).alias("sign"))
+    return label.join(known, "label").select("id", "label", "sign")
+
+
+def merged_points(points: DataFrame, tolerance: float, dim: int) -> DataFrame:
+    """points without those that lie within a tolerance of round-off from one of lower id."""
+    return thinned(points, tolerance, dim)

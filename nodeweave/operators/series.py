@@ -100,3 +100,77 @@ def disjoint(splits: DataFrame, key: str = "id") -> DataFrame:
 
 def bounding_box(points: DataFrame, columns: list[str]) -> DataFrame:
     return points.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))])
+
+
+def gaussian_normalizer(rows: DataFrame, column: str, decode: bool = False, eps: float = 1e-7, fit: DataFrame | None = None) -> DataFrame:
+    """(x - mean) / (std + eps) of a column, or back; the mean and std (ddof 0) are those of `fit`, or of rows themselves."""
+    one = (rows if fit is None else fit).agg(F.avg(column).alias("_m"), (F.stddev_pop(column) + eps).alias("_s"))
+    x = F.col(column)
+    to = x * F.col("_s") + F.col("_m") if decode else (x - F.col("_m")) / F.col("_s")
+    return rows.crossJoin(F.broadcast(one)).withColumn(column, to).drop("_m", "_s")
+
+
+def mean_mass(rows: DataFrame, columns: list[str], measure: float) -> DataFrame:
+    """One row: measure times the mean of each column."""
+    return rows.agg(*[(F.lit(measure) * F.avg(c)).alias(c) for c in columns])
+
+
+def with_mass(rows: DataFrame, column: str, measure: float, target: float, mode: str | None = None) -> DataFrame:
+    """rows whose column is moved along `mode` (default: everywhere by one number) until measure times its mean is target."""
+    m = F.col(mode) if mode else F.lit(1.0)
+    one = rows.agg((F.lit(measure) * F.avg(column)).alias("_now"), F.greatest(F.abs(F.lit(measure) * F.avg(m)), F.lit(1e-14)).alias("_unit"))
+    return rows.crossJoin(F.broadcast(one)).withColumn(column, F.col(column) + m * ((F.lit(target) - F.col("_now")) / F.col("_unit"))).drop("_now", "_unit")
+
+
+def residual_size(rows: DataFrame, column: str) -> DataFrame:
+    """One row: root mean square and largest magnitude, 0 of nothing."""
+    x = F.col(column)
+    zero = F.lit(0.0)
+    return rows.agg(F.coalesce(F.sqrt(F.avg(x * x)), zero).alias("rms"), F.coalesce(F.max(F.abs(x)), zero).alias("largest"))
+
+
+def divergence(operators: list[DataFrame], velocity: list[DataFrame]) -> DataFrame:
+    """(id, v): the sum over axes of an operator's product with that axis' component."""
+    from functools import reduce
+
+    from nodeweave.operators import coo
+
+    parts = [coo.spmv(a, u) for a, u in zip(operators, velocity)]
+    return reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.sum("v").alias("v"))
+
+
+def wall_residual(normals: DataFrame, velocity: DataFrame, prescribed: DataFrame) -> DataFrame:
+    """(id, v): normal . velocity - prescribed at wall nodes; normals (id, normal), velocity (id, u: array), prescribed (id, v)."""
+    dot = F.aggregate(F.zip_with("normal", "u", lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
+    return normals.join(velocity, "id").join(prescribed.withColumnRenamed("v", "_p"), "id", "left").select("id", (dot - F.coalesce("_p", F.lit(0.0))).alias("v"))
+
+
+def crossings(rows: DataFrame, key: str, by: str, value: str, threshold: float, steps: float) -> DataFrame:
+    """rows with `predicted`, the value `steps` further if it goes on as it last rose, and whether that reaches the threshold."""
+    from nodeweave.functions.scalar import quality_crossing
+
+    before = F.lag(value).over(Window.partitionBy(key).orderBy(by))
+    will, ahead = quality_crossing(F.coalesce(before, F.col(value)), F.col(value), threshold, steps)
+    return rows.withColumns({"predicted": ahead, "crosses": will})
+
+
+def structure_function(pairs: DataFrame, low: float, high: float, bins: int) -> DataFrame:
+    """(bin, r, value): the mean of `increment` over the pairs of each of `bins` log-spaced distances `d` from low to high, and
+    the bins' geometric middles."""
+    import math
+
+    step = math.log(high / low) / bins
+    at = pairs.where((F.col("d") >= low) & (F.col("d") < high)).withColumn("bin", F.least(F.floor(F.log(F.col("d") / low) / step), F.lit(bins - 1)))
+    return at.groupBy("bin").agg(F.avg("increment").alias("value")).select("bin", (low * F.exp((F.col("bin") + 0.5) * step)).alias("r"), "value")
+
+
+def rms_components(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the root mean square of each column."""
+    return rows.agg(*[F.sqrt(F.avg(F.col(c) * F.col(c))).alias(c) for c in columns])
+
+
+def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row that changes with the set of rows and not with their order: their count, and the exclusive or and the sum,
+    modulo 2^31, of their hashes."""
+    h = F.xxhash64(*columns)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("xor"), F.coalesce(F.sum(F.pmod(h, F.lit(1 << 31))), F.lit(0)).alias("total"))

@@ -56,20 +56,54 @@ def _top(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def grid_knn(queries: DataFrame, points: DataFrame, k: int, dim: int, width: float) -> DataFrame:
-    """(q, rank, p, d2), exact: queries that have no k neighbours within a cell's width search again with doubled cells."""
-    out, open_ = None, queries.select("id", "pos")
+def _located(points: DataFrame, dim: int) -> DataFrame:
+    """Points with `dim` finite coordinates; others are nobody's neighbours and have none."""
+    ok = F.col("pos").isNotNull() & F.col("id").isNotNull()
+    for k in range(dim):
+        x = F.get("pos", F.lit(k))
+        ok = ok & x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return points.where(ok)
+
+
+def fitting_width(points: DataFrame, k: int, dim: int, share: float = 1.2) -> float:
+    """The cell width at which a cell's block holds some k points if they are even: share * (volume k / n)^(1/dim)."""
+    ends = points.agg(F.count(F.lit(1)).alias("n"), *[f(F.element_at("pos", c + 1)).alias(f"{n}{c}") for c in range(dim) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    if not ends["n"]:
+        return 1.0
+    spans = [ends[f"hi{c}"] - ends[f"lo{c}"] for c in range(dim)]
+    wide = [x for x in spans if x > 0]
+    return share * (math.prod(wide) * k / ends["n"]) ** (1 / len(wide)) if wide else 1.0
+
+
+def grid_knn(queries: DataFrame, points: DataFrame, k: int, dim: int, width: float | None = None) -> DataFrame:
+    """(q, rank, p, d2), exact: queries that have no k neighbours within a cell's width search again with doubled cells.
+
+    The first width is by density if none is given. Rounds are saved, so each one runs once. Queries without a finite position have no rows.
+    """
+    out, open_ = None, _located(queries, dim).select("id", "pos")
+    points = _located(points, dim)
     total = points.count()
     k = min(k, total)
-    while True:
-        got = _top(within(open_, points, width, dim), k)
+    width = width or fitting_width(points, max(k, 1), dim)
+    while k:
+        got = saved(_top(within(open_, points, width, dim), k), "near")
         full = got.where(F.col("rank") == k).select(F.col("q").alias("id"))
         done = got.join(full.withColumnRenamed("id", "q"), "q", "left_semi").select("q", "rank", "p", "d2")
         out = done if out is None else out.unionByName(done)
-        open_ = open_.join(full, "id", "left_anti")
-        if k == 0 or open_.isEmpty():
+        left = open_.join(full, "id", "left_anti")
+        if left.isEmpty():
             return out
-        width *= 2
+        open_, width = saved(left, "open"), 2 * width
+    return _top(within(open_.limit(0), points, 1.0, dim), 1).select("q", "rank", "p", "d2")
+
+
+def masked_knn(queries: DataFrame, points: DataFrame, active, k: int, dim: int, width: float | None = None) -> DataFrame:
+    """kNN among the points that fulfil `active`; an error if they are fewer than k."""
+    among = points.where(active)
+    n = among.count()
+    if k > n:
+        raise ValueError(f"{k} neighbours asked for, {n} points are active")
+    return grid_knn(queries, among, k, dim, width) if dim <= 3 else knn(queries, among, k, dim)
 
 
 def _blocks(points: DataFrame, rows: int, name: str) -> DataFrame:
@@ -101,16 +135,15 @@ def dense_pairs(queries: DataFrame, points: DataFrame, k: int | None = None, rad
                     take = np.zeros(d2.shape, bool)
                     if k is not None:
                         kk = min(k, d2.shape[1])
-                        best = np.argsort(d2, axis=1, kind="stable")[:, :kk]
-                        np.put_along_axis(take, best, True, axis=1)
+                        # all that tie with the k-th, for the merge of blocks to decide
+                        take |= d2 <= np.partition(d2, kk - 1, axis=1)[:, kk - 1 : kk]
                     if radius is not None:
                         take |= np.sqrt(d2) <= radius
                     r, c = np.nonzero(take)
                     yield pd.DataFrame({"q": qi[lo : lo + 64][r], "p": pi[c], "d2": d2[r, c]})
 
-    pairs = _blocks(queries, rows, "a").crossJoin(_blocks(points, rows, "b"))
-    n = max(1, queries.sparkSession.sparkContext.defaultParallelism)
-    return pairs.repartition(n, "a", "b").mapInPandas(run, "q long, p long, d2 double")
+    a, b = _blocks(queries, rows, "a"), _blocks(points, rows, "b")
+    return a.crossJoin(b).mapInPandas(run, "q long, p long, d2 double")
 
 
 def knn(queries: DataFrame, points: DataFrame, k: int, dim: int, width: float | None = None, rows: int = 2048) -> DataFrame:
@@ -133,10 +166,10 @@ def ball_or_nearest(queries: DataFrame, points: DataFrame, radius: float, k_min:
 
 
 def nearest_within(queries: DataFrame, points: DataFrame, radius: float, dim: int) -> DataFrame:
-    """(q, p, d): the nearest point within radius, or p = -1 and a null distance."""
+    """(q, p, d): the nearest point within radius, or p = -1 and an infinite distance."""
     pairs = within(queries, points, radius, dim) if dim <= 3 else dense_pairs(queries, points, k=1).where(F.sqrt("d2") <= radius)
     best = pairs.groupBy("q").agg(F.min(F.struct("d2", "p")).alias("m"))
-    return queries.select(F.col("id").alias("q")).join(best, "q", "left").select("q", F.coalesce("m.p", F.lit(-1)).alias("p"), F.sqrt("m.d2").alias("d"))
+    return queries.select(F.col("id").alias("q")).join(best, "q", "left").select("q", F.coalesce("m.p", F.lit(-1)).alias("p"), F.coalesce(F.sqrt("m.d2"), F.lit(float("inf"))).alias("d"))
 
 
 def conflicts(points: DataFrame, dim: int, scale: float = 1.0, widest: float | None = None) -> DataFrame:
@@ -149,24 +182,91 @@ def conflicts(points: DataFrame, dim: int, scale: float = 1.0, widest: float | N
     return out.where(F.sqrt("d2") < scale * F.greatest("rq", "rp")).select(F.col("q").alias("a"), F.col("p").alias("b"))
 
 
-def periodic_knn(queries: DataFrame, points: DataFrame, k: int, lengths: list[float], width: float) -> DataFrame:
-    """Exact kNN on a periodic box (axis length 0: not periodic), by copies of the points near the walls.
+def periodic_pairs(queries: DataFrame, points: DataFrame, radius: float, lengths: list[float]) -> DataFrame:
+    """(q, p, d2) within radius on a periodic box (axis length 0: not periodic), each pair once, by its nearest image.
+    The radius is at most half of each periodic length."""
+    shifts = list(itertools.product(*[(0.0,) if n == 0 else (-n, 0.0, n) for n in lengths]))
+    images = points.withColumn("_s", F.explode(F.array(*[F.array(*[F.lit(x) for x in s]) for s in shifts]))).select("id", F.zip_with("pos", "_s", lambda a, b: a + b).alias("pos"))
+    return within(queries, images, radius, len(lengths)).groupBy("q", "p").agg(F.min("d2").alias("d2"))
+
+
+def periodic_knn(queries: DataFrame, points: DataFrame, k: int, lengths: list[float], width: float | None = None) -> DataFrame:
+    """Exact kNN on a periodic box, by copies of the points near the walls. Points lie in the box along periodic axes.
 
     Copies that fall on one point count once, with the nearest image; a query that is a point is its own first neighbour.
+    The search goes on until every query has k neighbours, along axes that are not periodic too.
     """
-    shifts = list(itertools.product(*[(0.0,) if n == 0 else (-n, 0.0, n) for n in lengths]))
-    images = points.withColumn("_s", F.explode(F.array(*[F.array(*[F.lit(x) for x in s]) for s in shifts]))).select("id", F.zip_with("pos", "_s", lambda a, b: a + b).alias("pos"))
     dim = len(lengths)
-    out, open_ = None, queries.select("id", "pos")
+    out, open_ = None, _located(queries, dim).select("id", "pos")
+    points = _located(points, dim)
     k = min(k, points.count())
-    while True:
-        each = within(open_, images, width, dim).groupBy("q", "p").agg(F.min("d2").alias("d2"))
-        got = each.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d2", (F.col("p") != F.col("q")), "p"))).where(F.col("rank") <= k)
-        got = saved(got, "near")
+    width = width or fitting_width(points, max(k, 1), dim)
+    order = Window.partitionBy("q").orderBy("d2", (F.col("p") != F.col("q")), "p")
+    while k:
+        got = saved(periodic_pairs(open_, points, width, lengths).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "near")
         full = got.where(F.col("rank") == k).select(F.col("q").alias("id"))
         done = got.join(full.withColumnRenamed("id", "q"), "q", "left_semi").select("q", "rank", "p", "d2")
         out = done if out is None else out.unionByName(done)
-        open_ = saved(open_.join(full, "id", "left_anti"), "open")
-        if k == 0 or open_.isEmpty():
+        left = open_.join(full, "id", "left_anti")
+        if left.isEmpty():
             return out
-        width *= 2
+        open_, width = saved(left, "open"), 2 * width
+    return periodic_pairs(open_.limit(0), points, 1.0, lengths).select("q", F.lit(1).alias("rank"), "p", "d2")
+
+
+def periodic_conflicts(points: DataFrame, lengths: list[float], scale: float = 1.0) -> DataFrame:
+    """(a, b), a < b: pairs whose nearest images are at less than scale times the larger of their radii; points: (id, pos, radius)."""
+    reach = scale * (points.agg(F.max("radius")).first()[0] or 1.0)
+    pairs = periodic_pairs(points, points, reach, lengths).where("q < p")
+    r = points.select("id", "radius")
+    out = pairs.join(r.select(F.col("id").alias("q"), F.col("radius").alias("rq")), "q").join(r.select(F.col("id").alias("p"), F.col("radius").alias("rp")), "p")
+    return out.where(F.sqrt("d2") < scale * F.greatest("rq", "rp")).select(F.col("q").alias("a"), F.col("p").alias("b"))
+
+
+def patches_of(queries: DataFrame, centers: DataFrame, radius: float, dim: int) -> DataFrame:
+    """(q, p): the patches whose center is nearer than radius, or the nearest one where there is none."""
+    near = ball(queries, centers, radius, dim).where(F.sqrt("d2") < radius).select("q", "p")
+    rest = queries.join(near.select(F.col("q").alias("id")).distinct(), "id", "left_anti").select("id", "pos")
+    one = knn(rest, centers, 1, dim, fitting_width(centers, 1, dim) if dim <= 3 else None)
+    return near.unionByName(one.select("q", "p"))
+
+
+def patch_nodes(centers: DataFrame, nodes: DataFrame, radius: float, least: int) -> DataFrame:
+    """(q, p, d2, rank): the nodes of each patch: those within radius, and the `least` nearest in any case."""
+    return ball_or_nearest(centers, nodes, radius, least)
+
+
+def support_topology(points: DataFrame, radius: float, dim: int) -> tuple[DataFrame, DataFrame]:
+    """Entries (row, col) of pairs at less than radius, a point with itself included, and (row, indptr) of their rows."""
+    from nodeweave.operators import coo
+
+    entries = ball(points, points, radius, dim).where(F.sqrt("d2") < radius).select(F.col("q").alias("row"), F.col("p").alias("col"))
+    return entries, coo.indptr(entries)
+
+
+def cap_members(points: DataFrame, caps: DataFrame, chord: float) -> DataFrame:
+    """(q, p): the points p at a chord of at most `chord` from each cap's center q."""
+    return within(caps, points, chord, 3).where(F.sqrt("d2") <= chord).select("q", "p")
+
+
+def box_members(points: DataFrame, boxes: DataFrame, width: float, dim: int) -> DataFrame:
+    """(q, p): the points in each box (id, low, high), ends included; no box is wider than `width`."""
+    middle = boxes.select("id", F.zip_with("low", "high", lambda a, b: (a + b) / 2).alias("pos"))
+    near = _around(middle.select(F.col("id").alias("q"), "pos"), width, dim).drop("pos").join(cells(points.select(F.col("id").alias("p"), "pos"), width, dim), "cell")
+    inside = near.join(boxes.select(F.col("id").alias("q"), "low", "high"), "q")
+    test = F.lit(True)
+    for k in range(dim):
+        test = test & (F.col("pos")[k] >= F.col("low")[k]) & (F.col("pos")[k] <= F.col("high")[k])
+    return inside.where(test).select("q", "p")
+
+
+def kth_distance(pairs: DataFrame, k: int) -> DataFrame:
+    """(q, d): the k-th smallest distance of each ball of pairs (q, p, d2); null where it has fewer."""
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("d2", "p"))
+    return pairs.withColumn("rank", rank).groupBy("q").agg(F.max(F.when(F.col("rank") == k, F.sqrt("d2"))).alias("d"))
+
+
+def point_quality(points: DataFrame, dim: int) -> DataFrame:
+    """One row: the largest over the smallest distance of a point to its nearest other."""
+    near = grid_knn(points, points, 2, dim).groupBy("q").agg(F.max(F.sqrt("d2")).alias("d"))
+    return near.agg((F.max("d") / F.greatest(F.min("d"), F.lit(2.0**-52))).alias("quality"))

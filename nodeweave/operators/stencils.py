@@ -17,7 +17,7 @@ from nodeweave.operators import spatial
 
 
 def solver_rule(xi: int, theta: int, dim: int) -> dict[str, int]:
-    """Polynomial degree, stencil size and spline degree for a solver of order xi and operator of order theta."""
+    """Polynomial degree, stencil size and spline degree for a solver of order xi and operator of order theta (fixed values)."""
     ell = max(xi + theta - 1, 2)
     return {"ell": ell, "n": 2 * comb(ell + dim, dim) + 1, "phs": max(5, ell if ell % 2 else ell - 1)}
 
@@ -85,10 +85,10 @@ def rbf_weights(x: np.ndarray, at: np.ndarray, degree: int, phs: int, ops: list[
         order = {"interp": 0, "lap": 2}.get(op, 1)
         rhs[:, :n, k] = _phs_part(-z, phs, op) / scale[:, 0] ** order
         rhs[:, n:, k] = sum(c * monomials(origin, powers, axes) for c, axes in _target(op, dim))[0] / scale[:, 0] ** order
-    try:
-        w = np.linalg.solve(system, rhs)
-    except np.linalg.LinAlgError:  # a stencil of the batch is singular: least-norm solutions, one by one
-        w = np.stack([np.linalg.lstsq(a, c, rcond=None)[0] for a, c in zip(system, rhs)])
+    sound = np.linalg.matrix_rank(p) == q if n >= q else np.zeros(b, bool)
+    system[~sound] = np.eye(n + q)
+    w = np.linalg.solve(system, rhs)
+    w[~sound] = np.nan  # nodes that don't determine the polynomials have no weights
     return {op: w[:, :n, k] for k, op in enumerate(ops)}
 
 
@@ -98,6 +98,7 @@ def wls_weights(x: np.ndarray, at: np.ndarray, degree: int, ops: list[str]) -> d
     scale = np.sqrt(((x - at[:, None]) ** 2).sum(-1)).max(axis=1)[:, None, None]
     z = (x - at[:, None]) / scale
     powers = exponents(dim, degree)
+    # fixed values: weights exp(-4 r^2), 1e-10 at least
     g = np.sqrt(np.clip(np.exp(-4 * (z * z).sum(-1)), 1e-10, 1))[..., None]
     fit = np.linalg.pinv(g * monomials(z, powers)) * np.swapaxes(g, 1, 2)  # (b, terms, n)
     origin, out = np.zeros((1, dim)), {}
@@ -108,7 +109,7 @@ def wls_weights(x: np.ndarray, at: np.ndarray, degree: int, ops: list[str]) -> d
     return out
 
 
-def gathered(queries: DataFrame, points: DataFrame, k: int, dim: int, width: float) -> DataFrame:
+def gathered(queries: DataFrame, points: DataFrame, k: int, dim: int, width: float | None = None) -> DataFrame:
     """(q, at, ids, xs): each query with its k nearest points in order."""
     near = spatial.grid_knn(queries, points, k, dim, width)
     full = near.join(points.select(F.col("id").alias("p"), F.col("pos").alias("x")), "p")
@@ -134,10 +135,24 @@ def weights(stencils: DataFrame, ops: list[str], degree: int, phs: int | None =
     return stencils.mapInPandas(run, "row long, col long, " + ", ".join(f"{op} double" for op in ops))
 
 
-def operators(queries: DataFrame, points: DataFrame, ops: list[str], dim: int, n: int, degree: int, width: float, phs: int | None = None) -> DataFrame:
+def operators(queries: DataFrame, points: DataFrame, ops: list[str], dim: int, n: int, degree: int, width: float | None = None, phs: int | None = None) -> DataFrame:
     return weights(gathered(queries, points, n, dim, width), ops, degree, phs)
 
 
+#: The two reference axes of a tangent frame, by the axis in which the normal is longest.
+_FIRST, _SECOND = np.eye(3)[[1, 0, 0]], np.eye(3)[[2, 2, 1]]
+
+
+def tangent_frames(normals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two unit tangents of each normal (n, 3), by projecting the reference axes in turn."""
+    nu = normals / np.linalg.norm(normals, axis=1, keepdims=True)
+    pick = np.abs(nu).argmax(axis=1)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    off = lambda v, e: v - (v * e).sum(1, keepdims=True) * e
+    one = unit(off(_FIRST[pick], nu))
+    return one, unit(off(off(_SECOND[pick], nu), one))
+
+
 def surface_weights(stencils: DataFrame, normals: DataFrame, degree: int, phs: int) -> DataFrame:
     """(row, col, lap, gx, gy, gz): operators on the tangent plane of each center. normals: (id, normal)."""
     rows = stencils.join(normals.select(F.col("id").alias("q"), "normal"), "q")
@@ -150,11 +165,7 @@ def surface_weights(stencils: DataFrame, normals: DataFrame, degree: int, phs: i
                 part = b.iloc[lo : lo + 128]
                 x = np.array([np.stack(r) for r in part["xs"]], float)
                 at, nu = (np.stack(part[c].to_list()).astype(float) for c in ("at", "normal"))
-                nu = nu / np.linalg.norm(nu, axis=1, keepdims=True)
-                least = np.eye(3)[np.abs(nu).argmin(axis=1)]
-                e1 = least - (least * nu).sum(1, keepdims=True) * nu
-                e1 = e1 / np.linalg.norm(e1, axis=1, keepdims=True)
-                e2 = np.cross(nu, e1)
+                e1, e2 = tangent_frames(nu)
                 d = x - at[:, None]
                 flat = np.stack([(d * e[:, None]).sum(-1) for e in (e1, e2)], axis=-1)
                 w = rbf_weights(flat, np.zeros((len(at), 2)), degree, phs, ["lap", "d0", "d1"])

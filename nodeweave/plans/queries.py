@@ -8,28 +8,7 @@ from pyspark.sql import functions as F
 from nodeweave.functions import scalar
 from nodeweave.functions.scalar import quantised
 from nodeweave.operators import coo, greedy, series, spatial, stencils
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def q(x: str) -> str:
-    return f"floor(({x}) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE"
-
-
-def table(spark, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from nodeweave.plans.registry import ORACLES, QUERIES, customers, q, query, table  # noqa: F401
 
 def matrix(spark, sf_dir: str) -> DataFrame:
     """lineitem as a matrix: order by part, quantity."""
@@ -208,10 +187,10 @@ def radius_kmin(spark, d):
 
 
 @query(f"""WITH {_PAIRS}, m AS (SELECT q, arg_min(p, (d2, p)) AS p, min(d2) AS d2 FROM p WHERE la = 0 AND lb <> 0 AND sqrt(d2) <= 1.2 GROUP BY q)
-SELECT vec_id AS q, coalesce(m.p, -1) AS p, {q('sqrt(d2)')} AS d FROM embeddings LEFT JOIN m ON vec_id = q WHERE label = 0""")
+SELECT vec_id AS q, coalesce(m.p, -1) AS p, coalesce({q('sqrt(d2)')}, 'infinity'::DOUBLE) AS d FROM embeddings LEFT JOIN m ON vec_id = q WHERE label = 0""")
 def nearest_within(spark, d):
     v = vectors(spark, d)
-    return spatial.nearest_within(v.where("label = 0"), v.where("label <> 0"), 1.2, 64).select("q", "p", quantised("d").alias("d"))
+    return spatial.nearest_within(v.where("label = 0"), v.where("label <> 0"), 1.2, 64).select("q", "p", F.when(F.col("p") < 0, F.col("d")).otherwise(quantised("d")).alias("d"))
 
 
 @query(f"WITH {_PAIRS} SELECT q AS a, p AS b FROM p WHERE q < p AND sqrt(d2) < greatest(1.15 + 0.01 * la, 1.15 + 0.01 * lb)")
@@ -222,14 +201,10 @@ def conflict_graph(spark, d):
 _P2 = "c AS (SELECT c_custkey AS id, c_custkey::DOUBLE AS x, c_acctbal AS y FROM customer)"
 
 
-def customers(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.array(F.col("c_custkey").cast("double"), F.col("c_acctbal")).alias("pos"))
-
-
 @query(f"WITH {_P2} SELECT q, p, rank FROM (SELECT a.id AS q, b.id AS p, row_number() OVER (PARTITION BY a.id ORDER BY (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y), b.id) AS rank FROM c a, c b) WHERE rank <= 4")
 def grid_knn(spark, d):
     c = customers(spark, d)
-    return spatial.grid_knn(c, c, 4, 2, 200.0).select("q", "p", F.col("rank").cast("long").alias("rank"))
+    return spatial.grid_knn(c, c, 4, 2).select("q", "p", F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT floor(c_custkey / 200.0)::BIGINT AS i, floor(c_acctbal / 200.0)::BIGINT AS j, count(*) AS n FROM customer GROUP BY ALL")
@@ -242,26 +217,6 @@ def slot_in_cell(spark, d):
     return spatial.slot_in_cell(customers(spark, d), 200.0, 2).select("id", F.col("slot").cast("long").alias("slot"))
 
 
-# --- functions
-
-
-@query(f"""SELECT i, {q('r * r * r')} AS phs3, {q('15 * r')} AS lap3d, {q('CASE WHEN r < 1 THEN (1-r)**6 * (1 + 6*r + 35*r*r/3) ELSE 0 END')} AS wendland,
-{q('CASE WHEN r < 1 THEN (1-r)**8 * (32*r*r*r + 25*r*r + 8*r + 1) ELSE 0 END')} AS pu FROM (SELECT range AS i, range / 80.0::DOUBLE AS r FROM range(100))""")
-def kernels(spark, d):
-    r = spark.range(100).select(F.col("id").alias("i"), (F.col("id") / 80.0).alias("r"))
-    return r.select("i", quantised(scalar.phs("r", 3)).alias("phs3"), quantised(F.lit(15.0) * F.col("r")).alias("lap3d"), quantised(scalar.wendland_c4("r")).alias("wendland"), quantised(scalar.pu_weight("r")).alias("pu"))
-
-
-@query("SELECT i AS a0, j AS a1 FROM (SELECT range AS i FROM range(9)), (SELECT range AS j FROM range(9)) WHERE (i + 1) * (j + 1) <= 9")
-def hyperbolic_cross(spark, d):
-    return spark.range(9).select(F.col("id").alias("a0"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long"))).alias("a1")).where("(a0 + 1) * (a1 + 1) <= 9")
-
-
-@query("SELECT i AS a0, j AS a1 FROM (SELECT range AS i FROM range(7)), (SELECT range AS j FROM range(7)) WHERE i + j <= 6")
-def total_degree(spark, d):
-    return spark.range(7).select(F.col("id").alias("a0"), F.explode(F.sequence(F.lit(0).cast("long"), 6 - F.col("id"))).alias("a1"))
-
-
 # --- rows only: sets by rounds, and stencils (the residual is in the result)
 
 
@@ -326,5 +281,8 @@ def poisson_square(spark, d):
     ghosts = grid.where("kind = 'boundary'").select((F.col("id") + n * n).alias("id"), scalar.ghost("pos", "normal", 0.5 * h).alias("pos"), F.col("normal"), F.lit("ghost").alias("kind"), F.col("id").alias("owner"))
     exact = lambda p: F.exp(p[0] + 0.35 * p[1])
     nodes = grid.unionByName(ghosts)
-    got = solvers.poisson(nodes, lambda p: 1.1225 * exact(p), lambda p, nu: exact(p), width=0.4)
+    got = solvers.poisson(nodes, lambda p: -1.1225 * exact(p), lambda p, nu: exact(p), width=0.4)
     return nodes.where("kind <> 'ghost'").select("id", "pos").join(got, "id").select("id", "v", (F.col("v") - exact(F.col("pos"))).alias("e"))
+
+
+from nodeweave.plans import point_queries, table_queries  # noqa: E402, F401  (they register theirs)

@@ -73,11 +73,67 @@ def test_poisson_disk_takes_four_passes(spark, monkeypatch):
     assert set(draws) == {256}
 
 
+def test_poisson_disk_keeps_off_fixed_points(spark):
+    fixed = spark.createDataFrame([(0, [0.5, 0.5])], "id long, pos array<double>")
+    got = greedy.poisson_disk(spark, 0.2, [0.0, 0.0], [1.0, 1.0], seed=3, passes=2, fixed=fixed).collect()
+    assert len(got) > 8 and all(d2(r.pos, (0.5, 0.5)) >= 0.04 * (1 - 1e-10) for r in got)
+
+
 def test_schur_diagonal(spark):
-    dense = [[2, 0, 1, 0], [0, 4, 0, 2], [3, 0, 7, 0], [0, 5, 0, 11]]
-    a = spark.createDataFrame([(i, j, float(v)) for i, r in enumerate(dense) for j, v in enumerate(r) if v], "row long, col long, val double")
-    got = [r.v for r in coo.schur_diagonal(a, 2).orderBy("id").collect()]
-    assert got == pytest.approx([2, 4, 5.5, 8.5])
+    """Row 2 has no diagonal entry in the first matrix, row 0 one of 0 in the second: both count as 1."""
+    for dense, want in (([[2, 0, 1, 0], [0, 4, 0, 2], [3, 0, 0, 0], [0, 5, 0, 11]], [2, 4, -1.5, 8.5]), ([[0, 0, 1, 0], [0, 4, 0, 2], [3, 0, 7, 0], [0, 5, 0, 2.5]], [1, 4, 4, 1])):
+        a = spark.createDataFrame([(i, j, float(v)) for i, r in enumerate(dense) for j, v in enumerate(r) if v], "row long, col long, val double")
+        assert [r.v for r in coo.schur_diagonal(a, 2, 2).orderBy("id").collect()] == pytest.approx(want)
+
+
+def test_csr_validity(spark):
+    make = lambda rows: spark.createDataFrame(rows, "row long, col long, val double")
+    good = [(0, 0, 1.0), (0, 1, 2.0), (1, 1, 3.0)]
+    verdict = lambda rows: coo.valid_csr(make(rows), 2, 2).first().valid
+    assert verdict(good) and verdict([])
+    assert not any(map(verdict, ([*good, (1, 1, 0.0)], [*good, (2, 0, 1.0)], [*good, (1, -1, 1.0)], [*good, (1, 0, float("nan"))], [*good, (1, 0, float("inf"))])))
+
+
+def test_positions_that_are_nowhere(spark):
+    """Null, short and non-finite positions have no neighbours and are none; the search ends."""
+    nan = float("nan")
+    df = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [None, 1.0]), (4, [nan, 1.0]), (5, [1.0]), (6, [float("inf"), 0.0])], "id long, pos array<double>")
+    for k in (1, 2, 9):
+        got = sorted((r.q, r.rank, r.p) for r in spatial.grid_knn(df, df, k, 2).collect())
+        assert got == [(0, 1, 0), (0, 2, 1), (1, 1, 1), (1, 2, 0)][: 4 if k > 1 else 0] or (k == 1 and got == [(0, 1, 0), (1, 1, 1)])
+    assert spatial.grid_knn(df, df.limit(0), 3, 2).count() == 0
+
+
+def test_ties_between_blocks(spark):
+    """Equal distances go to the lower id, whatever block it is in."""
+    df = spark.createDataFrame([(k, [float(k % 2), 0.0, 0.0, 0.0]) for k in range(60)], "id long, pos array<double>")
+    got = {(r.q, r.rank): r.p for r in spatial.knn(df, df, 3, 4, rows=7).collect()}
+    assert all([got[q, k + 1] for k in range(3)] == [q % 2, q % 2 + 2, q % 2 + 4] for q in range(60))
+
+
+def test_masked_knn_needs_enough(spark):
+    _, df = cloud(spark, 20, 2)
+    with pytest.raises(ValueError):
+        spatial.masked_knn(df, df, "id < 3", 4, 2)
+
+
+def test_farthest_points(spark):
+    import numpy as np
+
+    rows, df = cloud(spark, 40, 3, seed=5)
+    x = np.array([p for _, p in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    chosen = [int(((x - x.mean(0)) ** 2).sum(1).argmax())]
+    while len(chosen) < 6:
+        chosen.append(int(((x[:, None] - x[chosen]) ** 2).sum(-1).min(1).argmax()))
+    assert [r.id for r in greedy.farthest_points(df, 6).orderBy("id").collect()] == sorted(chosen)
+    assert greedy.farthest_points(df, 99).count() == 40 and greedy.farthest_points(df.limit(0), 3).count() == 0
+
+
+def test_signed_components(spark):
+    nodes = spark.createDataFrame([(0, 1.0), (1, None), (2, -2.0), (3, None), (4, None)], "id long, v double")
+    edges = spark.createDataFrame([(0, 1), (2, 3)], "a long, b long")
+    assert sorted((r.id, r.label, r.sign) for r in greedy.signed_components(nodes, edges).collect()) == [(0, 0, 1.0), (1, 0, 1.0), (2, 2, -1.0), (3, 2, -1.0), (4, 4, None)]
 
 
 @pytest.mark.parametrize("phs", [None, 5])
@@ -94,11 +150,18 @@ def test_laplacian_of_a_parabola(spark, phs):
 
 
 def test_winding_guard(spark):
+    """Own cases: what each of the four conditions refuses by itself, and what passes them all on either side."""
     nan, inf = float("nan"), float("inf")
-    rows = list(zip((0.147, 0.853, 0.02, 0.98, 0.49, -1.0, 0.1, nan, inf), (0.025, 0.975, 0.01, 0.99, 0.99, 0.02, 0.3, 0.01, 0.01), range(9)))
-    df = spark.createDataFrame(rows, "c double, f double, k int")
+    cases = [
+        (0.06, 0.04, True), (0.91, 0.96, True), (0.0, 0.0, True), (1.02, 1.05, True), (-0.03, -0.02, True), (2.05, 2.01, True),
+        (0.45, 0.55, False), (0.6, 0.03, False), (0.2, 0.8, False),  # sides
+        (-0.6, 0.05, False), (-1.0, 0.02, False), (1.6, 0.95, False), (0.46, 0.05, False),  # the two differ by more than the margin
+        (0.3, 0.25, False), (0.82, 0.8, False), (1.5, 1.5, False),  # no whole number
+        (nan, 0.0, False), (0.0, nan, False), (inf, 1.0, False), (1.0, -inf, False),
+    ]
+    df = spark.createDataFrame([(k, c, f) for k, (c, f, _) in enumerate(cases)], "k int, c double, f double")
     got = [r.ok for r in df.select("k", scalar.winding_reliable("c", "f", 0.1).alias("ok")).orderBy("k").collect()]
-    assert got[:5] == [True, True, True, True, False] and got[6:] == [False, False, False]
+    assert got == [ok for *_, ok in cases]
 
 
 def test_transitions(spark):
@@ -106,7 +169,24 @@ def test_transitions(spark):
     assert {(r.id, r.status) for r in series.transitions(a, b).collect()} == {(1, "entered"), (2, "persisted"), (3, "left")}
 
 
-def test_entry_without_training_data_part():
+def test_queries_and_their_sql():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_entry_without_training_data_part(tmp_path):
+    """A copy without the training-data folders and pipeline imports and keeps its other queries."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/nodeweave", tmp_path / "nodeweave", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), sum(k.startswith('op') or k == 'pipeline' for k in e.queries() if k != 'opN'))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    n = int(out.stdout.split()[0])
+    assert n > 80
