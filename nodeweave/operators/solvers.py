@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nodeweave.functions.scalar import BDF, EXTRAPOLATION
+from nodeweave.functions.stability import power_factors
 from nodeweave.operators import coo, stencils
 from nodeweave.sources.scratch import saved
 
@@ -184,6 +185,44 @@ def accepted(a: DataFrame, x: DataFrame, b: DataFrame, tolerance: float = 1e-8)
     return x.crossJoin(F.broadcast(good)).select("id", F.when(F.col("_ok"), F.col("v")).otherwise(float("nan")).alias("v"))
 
 
+def arnoldi(a: DataFrame, ids: DataFrame, steps: int, seed: int = 0) -> np.ndarray:
+    """Ritz values of A from `steps` Arnoldi steps, the largest modulus first; fewer where the space is exhausted. The basis is
+    an array column of the unknowns' table, orthogonalised twice; only sums reach the driver."""
+    a = saved(coo.coalesce(a), "matrix")
+    start = saved(ids.select("id").distinct().withColumn("r", (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2000003)) / 1000001.5 - 1.0)), "krylov")
+    size = _dots(start, ("r", "r"))[0] ** 0.5
+    if size == 0:
+        return np.zeros(0, complex)
+    base, h = start.select("id", F.array(F.col("r") / size).alias("q")), np.zeros((steps + 1, steps))
+    for j in range(steps):
+        step = saved(_apply(a, base.withColumn("z", F.element_at("q", -1)), "z", "w").drop("z"), "basis")
+        for _ in range(2):
+            c = [float(x) for x in step.agg(*[F.sum(F.col("q")[k] * F.col("w")).alias(f"_{k}") for k in range(j + 1)]).first()]
+            h[: j + 1, j] += c
+            step = step.withColumn("w", F.col("w") - sum((c[k] * F.col("q")[k] for k in range(1, j + 1)), c[0] * F.col("q")[0]))
+        h[j + 1, j] = _dots(step, ("w", "w"))[0] ** 0.5
+        if h[j + 1, j] <= 1e-12 * max(np.abs(h[: j + 1, : j + 1]).max(), 1e-300):
+            steps = j + 1
+            break
+        base = step.select("id", F.concat("q", F.array(F.col("w") / float(h[j + 1, j]))).alias("q"))
+    values = np.linalg.eigvals(h[:steps, :steps])
+    return values[np.argsort(-np.abs(values), kind="stable")]
+
+
+def factored_solve(a: DataFrame, b: DataFrame, ell: float, eta: float, power: int, **options) -> DataFrame:
+    """(id, v) with (I + ell A + eta A ** power) v = b, one real factor after the other, so that A ** power is never formed."""
+    a, ids = saved(coo.coalesce(a), "matrix"), b.select("id").distinct()
+    square, x = None, b.select("id", "v")
+    for f in power_factors(ell, eta, power):
+        if f.imag:
+            square = square if square is not None else saved(coo.matrix_power(a, 2), "square")
+            system = coo.scaled_sum([(1.0, coo.identity(ids)), (-2 * f.real, a), (abs(f) ** 2, square)])
+        else:
+            system = coo.implicit_system(ids, a, -f.real)
+        x = saved(solve(system, x, **options), "factor")
+    return x
+
+
 def solve(a: DataFrame, b: DataFrame, dense: int = DENSE, method: str | None = None, **options) -> DataFrame:
     """(id, v). Rows are scaled to a largest magnitude of 1 first. method: dense, gmres or bicgstab; by default dense up to
     `dense` unknowns and bicgstab above, which differ by the tolerance only."""

@@ -7,7 +7,7 @@ stacked dense solve. A batch holds some hundred stencils, whatever the input.
 from __future__ import annotations
 
 from itertools import combinations_with_replacement
-from math import comb
+from math import ceil, comb, prod
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,6 +27,20 @@ def surface_rule(xi: int) -> dict[str, int]:
     return {"ell": ell, "n": (ell + 1) * (ell + 2) + 1, "phs": max(5, min(11, ell if ell % 2 else ell - 1))}
 
 
+def accuracy_rule(order: int, derivative: int, dim: int, wls: bool = False, factor: float | None = None) -> dict[str, int]:
+    """Degree, size and spline degree for an operator with derivatives of that order, accurate to `order`. Twice as
+    many nodes as polynomials for splines, one and a half times for least squares."""
+    ell = max(order + derivative - 1, 0)
+    terms = comb(ell + dim, dim)
+    return {"ell": ell, "n": max(terms + 1, ceil((factor or (1.5 if wls else 2.0)) * terms)), "phs": max(2 * derivative + 1, 3)}
+
+
+def hyperviscosity_rule(power: int, dim: int) -> dict[str, int]:
+    """For the operator "hyp<power>", the Laplacian `power` over: every polynomial that it takes to 0 is in the stencil."""
+    ell = 2 * power - 1
+    return {"ell": ell, "n": 2 * comb(ell + dim, dim) + 1, "phs": 2 * power + 1}
+
+
 def exponents(dim: int, degree: int) -> list[tuple[int, ...]]:
     out = []
     for total in range(degree + 1):
@@ -53,9 +67,15 @@ def _target(op: str, dim: int):
         return [(1.0, ())]
     if op == "lap":
         return [(1.0, (k, k)) for k in range(dim)]
+    if op.startswith("hyp"):
+        return [(0.0, ())]  # polynomials below its order, as hyperviscosity_rule has them
     return [(1.0, (int(op[1:]),))]  # d0, d1, d2
 
 
+def _order(op: str) -> int:
+    return 2 * int(op[3:]) if op.startswith("hyp") else {"interp": 0, "lap": 2}.get(op, 1)
+
+
 def _phs_part(d: np.ndarray, m: int, op: str) -> np.ndarray:
     """The operator on r^m (odd m), as a function of the evaluation point, at differences d."""
     r = np.sqrt((d * d).sum(axis=-1))
@@ -63,6 +83,9 @@ def _phs_part(d: np.ndarray, m: int, op: str) -> np.ndarray:
         return r**m
     if op == "lap":
         return m * (d.shape[-1] + m - 2) * r ** (m - 2)
+    if op.startswith("hyp"):
+        times = int(op[3:])
+        return prod((m - 2 * s) * (m + d.shape[-1] - 2 - 2 * s) for s in range(times)) * r ** (m - 2 * times)
     return m * r ** (m - 2) * d[..., int(op[1:])]
 
 
@@ -82,7 +105,7 @@ def rbf_weights(x: np.ndarray, at: np.ndarray, degree: int, phs: int, ops: list[
     rhs = np.zeros((b, n + q, len(ops)))
     origin = np.zeros((1, dim))
     for k, op in enumerate(ops):
-        order = {"interp": 0, "lap": 2}.get(op, 1)
+        order = _order(op)
         rhs[:, :n, k] = _phs_part(-z, phs, op) / scale[:, 0] ** order
         rhs[:, n:, k] = sum(c * monomials(origin, powers, axes) for c, axes in _target(op, dim))[0] / scale[:, 0] ** order
     sound = np.linalg.matrix_rank(p) == q if n >= q else np.zeros(b, bool)
@@ -92,6 +115,29 @@ def rbf_weights(x: np.ndarray, at: np.ndarray, degree: int, phs: int, ops: list[
     return {op: w[:, :n, k] for k, op in enumerate(ops)}
 
 
+def cardinal(x: np.ndarray, at: np.ndarray, degree: int, phs: int, ops: list[str]) -> dict[str, np.ndarray]:
+    """Weights (points, n) of each operator at several points on one set of nodes, whose system is factored once. nan where
+    the nodes don't determine the polynomials."""
+    n, dim = x.shape
+    middle = x.mean(axis=0)
+    scale = np.sqrt(((x - middle) ** 2).sum(-1)).max() or 1.0
+    z, y = (x - middle) / scale, (at - middle) / scale
+    powers = exponents(dim, degree)
+    p = monomials(z, powers)
+    q = p.shape[1]
+    if n < q or np.linalg.matrix_rank(p) < q:
+        return {op: np.full((len(at), n), np.nan) for op in ops}
+    system = np.zeros((n + q, n + q))
+    system[:n, :n] = np.sqrt(((z[:, None] - z[None]) ** 2).sum(-1)) ** phs
+    system[:n, n:], system[n:, :n] = p, p.T
+    rhs = []
+    for op in ops:
+        poly = sum(c * monomials(y, powers, axes) for c, axes in _target(op, dim))
+        rhs.append(np.concatenate([_phs_part(y[:, None] - z[None], phs, op), poly], axis=1).T / scale ** _order(op))
+    w = np.linalg.solve(system, np.concatenate(rhs, axis=1))[:n].T
+    return {op: w[k * len(at) : (k + 1) * len(at)] for k, op in enumerate(ops)}
+
+
 def wls_weights(x: np.ndarray, at: np.ndarray, degree: int, ops: list[str]) -> dict[str, np.ndarray]:
     """The same by weighted least squares: Gaussian weights about the center."""
     dim = x.shape[2]
@@ -103,7 +149,7 @@ def wls_weights(x: np.ndarray, at: np.ndarray, degree: int, ops: list[str]) -> d
     fit = np.linalg.pinv(g * monomials(z, powers)) * np.swapaxes(g, 1, 2)  # (b, terms, n)
     origin, out = np.zeros((1, dim)), {}
     for op in ops:
-        order = {"interp": 0, "lap": 2}.get(op, 1)
+        order = _order(op)
         target = sum(c * monomials(origin, powers, axes) for c, axes in _target(op, dim))[0]
         out[op] = np.einsum("t,btn->bn", target, fit) / scale[:, 0] ** order
     return out

@@ -187,10 +187,10 @@ def compact_support(spark, d):
 
 
 @query("""WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)
-SELECT a.id AS q, b.id AS p FROM p a, p b WHERE a.id < 20 AND sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) <= 0.1""")
+SELECT a.id AS q, b.id AS p FROM p a, p b WHERE sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) <= 0.1""")
 def cap_members(spark, d):
     p = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 3).cast("array<double>").alias("pos"))
-    return spatial.cap_members(p, p.where("id < 20"), 0.1)
+    return spatial.cap_members(p, p, 0.1)
 
 
 @query(f"WITH {_C}, s AS (SELECT s_suppkey AS q, s_suppkey * 10.0::DOUBLE - 100 AS lx, s_suppkey * 10.0::DOUBLE + 100 AS hx, s_acctbal - 150 AS ly, s_acctbal + 50 AS hy FROM supplier) SELECT q, id AS p FROM s, c WHERE x >= lx AND x <= hx AND y >= ly AND y <= hy")

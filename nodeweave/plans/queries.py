@@ -285,4 +285,4 @@ def poisson_square(spark, d):
     return nodes.where("kind <> 'ghost'").select("id", "pos").join(got, "id").select("id", "v", (F.col("v") - exact(F.col("pos"))).alias("e"))
 
 
-from nodeweave.plans import point_queries, table_queries  # noqa: E402, F401  (they register theirs)
+from nodeweave.plans import local_queries, point_queries, table_queries  # noqa: E402, F401  (they register theirs)

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df, written below spark.checkpoint.dir and read again; a local folder only where that is unset, as in tests."""
+    """df, written below spark.checkpoint.dir and read again. Where that is unset, a local folder on a local master (tests),
+    and an error on any other, whose executors wouldn't see it."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="nodeweave-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
