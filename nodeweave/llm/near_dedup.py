@@ -305,8 +305,9 @@ def linked(docs: DataFrame, tables: int = TABLES, band: int = BAND, turns: int =
     more = written(more.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
     comps = components(links.unionByName(confirmed(more, sets)))
     named = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    ids = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    groups = written(named.join(ids, "comp").select("cls", "component_id", "c"), "groups")
+    named = written(named.select("cls", "rep", "c", "comp"), "named")
+    ids = named.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    groups = written(with_groups(named, ids, "comp", "members", named.count()).select("cls", "component_id", "c"), "groups")
     out = with_groups(rows.select("doc_id", "n_shingles", "cls"), groups, "cls", "c", rows.count()).drop("c")
     out = out.withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
