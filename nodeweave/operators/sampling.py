@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from nodeweave.functions import scalar
 from nodeweave.operators import geometry, greedy, spatial
+from nodeweave.operators.joins import shuffled
 from nodeweave.sources.scratch import saved
 
 
@@ -18,7 +19,7 @@ def crowding(points: DataFrame, radius: float, dim: int) -> DataFrame:
     """(id, weight): the sum of (1 - d / 2r) ** 8 over the other points at a distance d of at most 2r."""
     near = spatial.ball(points, points, 2 * radius, dim).where("q <> p")
     sums = near.groupBy(F.col("q").alias("id")).agg(F.sum(scalar.power(1 - F.sqrt("d2") / (2 * radius), 8)).alias("weight"))
-    return points.select("id").join(sums, "id", "left").select("id", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    return points.select("id").join(shuffled(sums), "id", "left").select("id", F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 
 def eliminated(points: DataFrame, radius: float, dim: int, flag: Column | None = None) -> DataFrame:
