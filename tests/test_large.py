@@ -1,8 +1,10 @@
 """What larger tables need: no table is broadcast by its size on disk, far queries end in one pass, copies make no pairs."""
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from nodeweave.operators import spatial
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -22,6 +24,21 @@ def hash_broadcasts(spark, run) -> int:
 @pytest.mark.parametrize("name, bounded", [
     ("crowding", 0),
     ("compact_support", 2),
+    ("grid_knn", 0),
 ])
 def test_tables_are_not_broadcast(spark, name, bounded):
     assert hash_broadcasts(spark, lambda: entry.queries()[name](spark, SMALL).write.format("noop").mode("overwrite").save()) == bounded
+
+
+def test_far_queries_are_brute_force(spark):
+    """Queries far out on all sides, ties and copies, three in four outside the points' box."""
+    rng = np.random.default_rng(7)
+    x = np.round(rng.uniform(0, 1, (1500, 2)), 2)
+    y = np.concatenate([rng.uniform(0, 1, (25, 2)), rng.uniform(-1e4, 1e4, (75, 2)), x[:20] + [1000.0, 0.0]])
+    frame = lambda rows: spark.createDataFrame([(k, [float(c) for c in r]) for k, r in enumerate(rows)], "id long, pos array<double>")
+    for k in (1, 5):
+        got = {(r.q, r.rank): r.p for r in spatial.grid_knn(frame(y), frame(x), k, 2).collect()}
+        assert len(got) == k * len(y)
+        for q, at in enumerate(y):
+            d = (at[0] - x[:, 0]) ** 2 + (at[1] - x[:, 1]) ** 2
+            assert [got[q, j + 1] for j in range(k)] == list(np.lexsort((np.arange(len(x)), d))[:k])
