@@ -223,7 +223,7 @@ def slot_in_cell(spark, d):
 @query()
 def greedy_independent_set(spark, d):
     c = customers(spark, d)
-    pairs = spatial.within(c, c, 60.0, 2).where("q < p").select(F.col("q").alias("a"), F.col("p").alias("b"))
+    pairs = spatial.pairs_within(c, 60.0, 2).select(F.col("q").alias("a"), F.col("p").alias("b"))
     return greedy.independent_set(c.select("id", F.col("id").alias("rank")), pairs)
 
 
