@@ -27,6 +27,7 @@ def hash_broadcasts(spark, run) -> int:
     ("grid_knn", 0),
     ("greedy_independent_set", 0),
     ("kth_distance", 0),
+    ("periodic_knn", 0),
 ])
 def test_tables_are_not_broadcast(spark, name, bounded):
     assert hash_broadcasts(spark, lambda: entry.queries()[name](spark, SMALL).write.format("noop").mode("overwrite").save()) == bounded
