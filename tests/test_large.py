@@ -28,6 +28,7 @@ def hash_broadcasts(spark, run) -> int:
     ("greedy_independent_set", 0),
     ("kth_distance", 0),
     ("periodic_knn", 0),
+    ("periodic_conflicts", 0),
 ])
 def test_tables_are_not_broadcast(spark, name, bounded):
     assert hash_broadcasts(spark, lambda: entry.queries()[name](spark, SMALL).write.format("noop").mode("overwrite").save()) == bounded
@@ -56,3 +57,11 @@ def test_copies_make_no_pairs(spark, monkeypatch):
     assert sorted(r.id for r in greedy.thinned(df, 1.0, 2).collect()) == [0, 1, 900, 901]
     assert sorted(r.id for r in greedy.merged_points(df, 1e-9, 2).collect()) == [0, 1, 2, 900, 901]
     assert max(t.count() for name, t in tables if name == "edges") == 2
+
+
+def test_periodic_distances_are_of_the_points_themselves(spark):
+    """The image of 0.2 in a box of 9000 lies at 9000.2, whose distance from 8999.9 is rounded; the wrapped difference is less so."""
+    df = spark.createDataFrame([(0, [0.2, 5.0]), (1, [8999.9, 5.0])], "id long, pos array<double>")
+    t = 0.2 - 8999.9
+    t += 9000.0
+    assert [(r.q, r.p, r.d2) for r in spatial.periodic_pairs(df, df, 1.0, [9000.0, 0.0], ordered=True).collect()] == [(0, 1, t * t)]
