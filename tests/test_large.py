@@ -29,6 +29,7 @@ def hash_broadcasts(spark, run) -> int:
     ("kth_distance", 0),
     ("periodic_knn", 0),
     ("periodic_conflicts", 0),
+    ("point_quality", 0),
 ])
 def test_tables_are_not_broadcast(spark, name, bounded):
     assert hash_broadcasts(spark, lambda: entry.queries()[name](spark, SMALL).write.format("noop").mode("overwrite").save()) == bounded
