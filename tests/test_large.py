@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from nodeweave.operators import greedy, spatial
@@ -68,3 +69,13 @@ def test_periodic_distances_are_of_the_points_themselves(spark):
     t = 0.2 - 8999.9
     t += 9000.0
     assert [(r.q, r.p, r.d2) for r in spatial.periodic_pairs(df, df, 1.0, [9000.0, 0.0], ordered=True).collect()] == [(0, 1, t * t)]
+
+
+def test_one_pass_finds_what_is_far_patches(spark, monkeypatch):
+    """Two of three queries have no patch about them."""
+    tables = []
+    monkeypatch.setattr(spatial, "saved", lambda df, name, keep=spatial.saved: tables.append(name) or keep(df, name))
+    near = spark.range(400).select("id", F.array((F.col("id") % 20) * 1.0, F.floor(F.col("id") / 20) * 1.0).alias("pos"))
+    far = spark.createDataFrame([(0, [1e6, 3.2]), (1, [-1e7, 7.9]), (2, [3.1, 3.2])], "id long, pos array<double>")
+    assert sorted((r.q, r.p) for r in spatial.patches_of(far, near, 0.5, 2).collect()) == [(0, 79), (1, 160), (2, 63)]
+    assert len(tables) <= 7
