@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nodeweave.operators import spatial
+from nodeweave.operators.joins import shuffled
 
 
 def edges(outline: DataFrame) -> DataFrame:
@@ -161,7 +162,7 @@ def outside_inflated(points: DataFrame, markers: DataFrame, h: float, dim: int)
     """Ids of points (id, pos) beyond the markers (id, pos, normal) moved out by 0.75 h: past the nearest one along its normal."""
     out = markers.select("id", F.zip_with("pos", "normal", lambda x, n: x + 0.75 * h * n).alias("pos"), "normal")
     near = spatial.grid_knn(points, out, 1, dim).select(F.col("q").alias("id"), F.col("p"))
-    both = points.select("id", "pos").join(near, "id").join(out.select(F.col("id").alias("p"), F.col("pos").alias("m"), "normal"), "p")
+    both = points.select("id", "pos").join(shuffled(near), "id").join(shuffled(out.select(F.col("id").alias("p"), F.col("pos").alias("m"), "normal")), "p")
     along = F.aggregate(F.zip_with(F.zip_with("pos", "m", lambda x, y: x - y), "normal", lambda d, n: d * n), F.lit(0.0), lambda s, t: s + t)
     return both.where(along > 1e-12).select("id")
 
