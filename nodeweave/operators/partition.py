@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 from nodeweave.functions import scalar
 from nodeweave.functions.scalar import BDF
 from nodeweave.operators import coo, greedy, solvers, spatial, stencils
+from nodeweave.operators.joins import shuffled
 from nodeweave.sources.scratch import saved
 
 FAN = 256
@@ -37,10 +38,11 @@ def patch_centers(points: DataFrame, spacing: float, dim: int) -> DataFrame:
 def unity_weights(queries: DataFrame, centers: DataFrame, radius: float, dim: int) -> DataFrame:
     """(q, p, w): the share of each patch p at q; shares add up to 1. Where the patches' weights add up to 1e-14 at most, the
     nearest patch has all."""
-    near = spatial.ball(queries, centers, radius, dim).withColumn("raw", scalar.pu_weight(F.sqrt("d2") / radius))
-    near = near.withColumn("total", F.sum("raw").over(Window.partitionBy("q"))).where("total > 1e-14")
+    near = spatial.within(queries, centers, radius, dim, fewer_points=True) if dim <= 3 else spatial.ball(queries, centers, radius, dim)
+    near = near.withColumn("raw", scalar.pu_weight(F.sqrt("d2") / radius))
+    near = saved(near.withColumn("total", F.sum("raw").over(Window.partitionBy("q"))).where("total > 1e-14"), "shares")
     blend = near.where("raw > 0").select("q", "p", (F.col("raw") / F.col("total")).alias("w"))
-    rest = queries.join(near.select(F.col("q").alias("id")).distinct(), "id", "left_anti").select("id", "pos")
+    rest = queries.join(shuffled(near.select(F.col("q").alias("id")).distinct()), "id", "left_anti").select("id", "pos")
     one = spatial.knn(rest, centers, 1, dim, spatial.fitting_width(centers, 1, dim) if dim <= 3 else None)
     return blend.unionByName(one.select("q", "p", F.lit(1.0).alias("w")))
 

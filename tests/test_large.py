@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from nodeweave.operators import geometry, greedy, spatial
+from nodeweave.operators import geometry, greedy, partition, spatial
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -90,3 +90,13 @@ def test_one_pass_finds_what_is_far_markers(spark, monkeypatch):
     markers = near.withColumn("normal", F.array(F.lit(1.0), F.lit(0.0)))
     assert [r.id for r in geometry.outside_inflated(far, markers, 0.0, 2).orderBy("id").collect()] == [0, 2]
     assert len(tables) <= 6
+
+
+def test_one_pass_finds_what_is_far_weights(spark, monkeypatch):
+    """Two of three queries have no patch about them, and all of the nearest."""
+    tables = []
+    monkeypatch.setattr(spatial, "saved", lambda df, name, keep=spatial.saved: tables.append(name) or keep(df, name))
+    near = spark.range(400).select("id", F.array((F.col("id") % 20) * 1.0, F.floor(F.col("id") / 20) * 1.0).alias("pos"))
+    far = spark.createDataFrame([(0, [1e6, 3.2]), (1, [-1e7, 7.9]), (2, [3.1, 3.2])], "id long, pos array<double>")
+    assert sorted((r.q, r.p, r.w) for r in partition.unity_weights(far, near, 0.5, 2).collect()) == [(0, 79, 1.0), (1, 160, 1.0), (2, 63, 1.0)]
+    assert len(tables) <= 6
