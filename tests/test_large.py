@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from nodeweave.functions import scalar
 from nodeweave.operators import geometry, greedy, partition, spatial
 
 SMALL = "/root/testdata/sf0.001"
@@ -100,3 +101,10 @@ def test_one_pass_finds_what_is_far_weights(spark, monkeypatch):
     far = spark.createDataFrame([(0, [1e6, 3.2]), (1, [-1e7, 7.9]), (2, [3.1, 3.2])], "id long, pos array<double>")
     assert sorted((r.q, r.p, r.w) for r in partition.unity_weights(far, near, 0.5, 2).collect()) == [(0, 79, 1.0), (1, 160, 1.0), (2, 63, 1.0)]
     assert len(tables) <= 6
+
+
+def test_large_values_keep_their_size(spark):
+    """floor gives a long, which holds no more than 9.2e18, that is 9.2e12 before six digits were added."""
+    xs = [1.3e13, -1.3e13, 1.5e300, 9.3e12, 0.25, -0.0000005, 2.0000005]
+    got = [r.y for r in spark.createDataFrame([(k, x) for k, x in enumerate(xs)], "id long, x double").select("id", scalar.quantised("x").alias("y")).orderBy("id").collect()]
+    assert got == pytest.approx([1.3e13, -1.3e13, 1.5e300, 9.3e12, 0.25, 0.0, 2.000001], rel=1e-15, abs=0)
