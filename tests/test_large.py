@@ -108,3 +108,10 @@ def test_large_values_keep_their_size(spark):
     xs = [1.3e13, -1.3e13, 1.5e300, 9.3e12, 0.25, -0.0000005, 2.0000005]
     got = [r.y for r in spark.createDataFrame([(k, x) for k, x in enumerate(xs)], "id long, x double").select("id", scalar.quantised("x").alias("y")).orderBy("id").collect()]
     assert got == pytest.approx([1.3e13, -1.3e13, 1.5e300, 9.3e12, 0.25, 0.0, 2.000001], rel=1e-15, abs=0)
+
+
+def test_no_point_lies_beyond_the_last_of_a_sphere(spark):
+    x, y, z = scalar.fibonacci_sphere("id", 10)
+    rows = spark.range(12).select("id", *[scalar.quantised(c).alias(n) for n, c in zip("xyz", (x, y, z))], scalar.quantised(F.lit(1.0) / F.col("id").cast("double") * float("inf")).alias("inf")).where("id > 0").collect()
+    assert [(np.isnan(r.x), np.isnan(r.y), np.isnan(r.z)) for r in rows] == [(k > 9, k > 9, False) for k in range(1, 12)]
+    assert all(r.x**2 + r.y**2 + r.z**2 == pytest.approx(1, abs=1e-5) for r in rows[:9]) and {r.inf for r in rows} == {float("inf")}
