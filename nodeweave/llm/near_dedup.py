@@ -130,10 +130,13 @@ def signed(docs: DataFrame, tables: int = TABLES, band: int = BAND) -> DataFrame
 
 
 def table_keys(classes: DataFrame, tables: int = TABLES) -> DataFrame:
-    """(key, node, n) of each class and table in which both band values are shared with another class."""
+    """(key, node, n) of each class and table in which both band values are shared with another class. Values that one class has
+    are filtered before they move."""
     each = classes.select("node", "n", F.posexplode("bands").alias("at", "value"))
-    shared = each.groupBy("at", "value").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("at", "value")
-    met = each.join(shared, ["at", "value"]).groupBy("node").agg(F.first("n").alias("n"), F.collect_list(F.struct("at", "value")).alias("m"))  # 2 * tables a class
+    shared = written(each.groupBy("at", "value").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("at", "value"), "shared")
+    place = F.xxhash64("at", "value").alias("place")
+    some = maybe_in(each.select("node", "n", "at", "value", place), shared.select(place), "place").where("_maybe").drop("_maybe", "place")
+    met = some.join(shared, ["at", "value"]).groupBy("node").agg(F.first("n").alias("n"), F.collect_list(F.struct("at", "value")).alias("m"))  # 2 * tables a class
     left, right = F.filter("m", lambda x: x["at"] < tables), F.filter("m", lambda x: x["at"] >= tables)
     pairs = met.select("node", "n", right.alias("r"), F.explode(left).alias("l")).select("node", "n", "l", F.explode("r").alias("r"))
     return pairs.select(F.xxhash64("l.at", "l.value", "r.at", "r.value").alias("key"), "node", "n")
@@ -239,14 +242,27 @@ def able(n: Column, at: Column, other: Column) -> Column:
     return (UNDER + OVER) * (n - at) >= OVER * (n + other)
 
 
+def able_by_bits() -> Column:
+    """Whether sets of na and nb shingles with parities ba and bb can reach the threshold: each place where the parities differ is
+    a shingle of one of them alone, which bounds what both can share."""
+    apart = sum((F.bit_count(F.col("ba")[k].bitwiseXOR(F.col("bb")[k])) for k in range(1, PLANES)), F.bit_count(F.col("ba")[0].bitwiseXOR(F.col("bb")[0])))
+    return (UNDER + OVER) * (F.col("na") + F.col("nb") - apart) >= 2 * OVER * (F.col("na") + F.col("nb"))
+
+
+def able_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b; an a once) that sizes and parities don't rule out, so that no set moves for the others."""
+    small = sets.select("node", "n", "bits")
+    centers = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("c")).join(small.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
+    both = with_groups(pairs, centers, "b", "c", pairs.count()).join(small.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
+    return both.where(able_by_bits()).select("a", "b")
+
+
 def across(members: DataFrame) -> DataFrame:
     """Pairs (a, b) of members (key, node, n, at, bits, comp) of a key that lie in different components and may be similar."""
     x = members.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("bits").alias("ba"), F.col("comp").alias("ca"))
     y = members.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("bits").alias("bb"), F.col("comp").alias("cb"))
     may = (F.col("ca") < F.col("cb")) & similar_size(F.col("na"), F.col("nb")) & able(F.col("na"), F.col("pa"), F.col("nb")) & able(F.col("nb"), F.col("pb"), F.col("na"))
-    # each odd place where they differ is a shingle of one of them alone: what both can share at most
-    apart = sum((F.bit_count(F.col("ba")[k].bitwiseXOR(F.col("bb")[k])) for k in range(1, PLANES)), F.bit_count(F.col("ba")[0].bitwiseXOR(F.col("bb")[0])))
-    may = may & ((UNDER + OVER) * (F.col("na") + F.col("nb") - apart) >= 2 * OVER * (F.col("na") + F.col("nb")))
+    may = may & able_by_bits()
     return x.join(y, "key").where(may).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -292,7 +308,7 @@ def linked(docs: DataFrame, tables: int = TABLES, band: int = BAND, turns: int =
     for turn in range(turns):
         pairs = star(members, turn)
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = confirmed(pairs, sets)
+        found = confirmed(written(able_pairs(pairs, sets), "able"), sets)
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         comps = components(links)

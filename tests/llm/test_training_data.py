@@ -704,3 +704,14 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     assert {r["doc_id"] for r in got} == {r.doc_id for r in marked}
     want = packing.packed(spark.createDataFrame(marked), packing.vocabulary_path()).collect()
     assert {(r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in got} == {(r.doc_id, r.piece, r.length, r.ids_crc32) for r in want}
+
+
+def test_near_dedup_moves_no_set_that_parities_rule_out(spark, monkeypatch):
+    """Twenty texts share half of their shingles with another one, and bands too; one text has a near copy."""
+    asked = []
+    monkeypatch.setattr(near_dedup, "confirmed", lambda pairs, sets, keep=near_dedup.confirmed: asked.append(pairs.count()) or keep(pairs, sets))
+    rows = [(2 * k + b, prose(k, 200) + " " + prose(1000 + 2 * k + b, 90)) for k in range(20) for b in (0, 1)]
+    rows += [(100, prose(500, 200)), (101, prose(500, 200) + " and more")]
+    got = {r.doc_id: r.component_id for r in near_dedup.linked(docs_of(spark, rows)).collect()}
+    assert got == {i: min(i, 100) for i, _ in rows}
+    assert sum(asked) == 1
