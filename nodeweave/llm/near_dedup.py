@@ -40,6 +40,8 @@ TURNS = 2
 PLANES = 8
 #: Comparisons that share one copy of a class's set.
 FAN = 256
+#: Nodes whose comparisons are dealt out, at most.
+WIDE = 1 << 16
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 STORED = 300_000
 
@@ -166,15 +168,26 @@ def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return got.join(classes.select("cls", "node"), "cls").groupBy("node").agg(F.first("n").alias("n"), F.first("s").alias("s"), F.first("bits").alias("bits"))
 
 
+def crowded(pairs: DataFrame) -> DataFrame:
+    """(b, fans) of the nodes whose pairs are dealt to several tasks. They are WIDE at most, whatever the input, so they can be
+    broadcast; any other node has FAN pairs or a share of one in WIDE at most."""
+    least = max(FAN, pairs.count() // WIDE)
+    return pairs.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > least).select("b", F.ceil(F.col("c") / FAN).cast("int").alias("fans"))
+
+
+def met_at_b(pairs: DataFrame, right: DataFrame, crowd: DataFrame) -> DataFrame:
+    """pairs (a, b) joined with right (b, more), whose row of a crowded node goes once to each FAN pairs."""
+    fans = F.coalesce("fans", F.lit(1))
+    dealt = pairs.join(F.broadcast(crowd), "b", "left").withColumn("fan", F.pmod(F.xxhash64("a"), fans).cast("int")).drop("fans")
+    spread = right.join(F.broadcast(crowd), "b", "left").withColumn("fan", F.explode(F.sequence(F.lit(0), fans - 1))).drop("fans")
+    return dealt.join(spread, ["b", "fan"]).drop("fan")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that are linked. A set goes once to each FAN comparisons, so a hot node is dealt out; sets
-    that no pair names are filtered before they move."""
-    fans = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("c")).withColumn("fans", F.ceil(F.col("c") / FAN).cast("int"))
-    named = maybe_in(sets.withColumnRenamed("node", "b"), fans, "b").where("_maybe")
-    right = named.join(fans, "b").select("b", F.col("s").alias("sb"), F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"))
-    dealt = with_groups(pairs, fans, "b", "c", pairs.count()).withColumn("fan", F.pmod(F.xxhash64("a"), F.col("fans")).cast("int")).drop("c", "fans")
-    left = maybe_in(sets.withColumnRenamed("node", "a"), pairs, "a").where("_maybe").select("a", F.col("s").alias("sa"))
-    both = dealt.join(right, ["b", "fan"]).join(left, "a").select("a", "b", "sa", "sb")
+    """The pairs (a, b) of nodes that are linked. A hot node is dealt out; sets that no pair names are filtered before they move."""
+    right = maybe_in(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), pairs, "b").where("_maybe").drop("_maybe")
+    left = maybe_in(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), pairs, "a").where("_maybe").drop("_maybe")
+    both = met_at_b(pairs.select("a", "b"), right, crowded(pairs)).join(left, "a").select("a", "b", "sa", "sb")
 
     def run(batches):
         import pyarrow as pa
@@ -252,8 +265,8 @@ def able_by_bits() -> Column:
 def able_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b; an a once) that sizes and parities don't rule out, so that no set moves for the others."""
     small = sets.select("node", "n", "bits")
-    centers = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("c")).join(small.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
-    both = with_groups(pairs, centers, "b", "c", pairs.count()).join(small.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
+    right = small.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    both = met_at_b(pairs, right, crowded(pairs)).join(small.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
     return both.where(able_by_bits()).select("a", "b")
 
 
@@ -316,10 +329,12 @@ def linked(docs: DataFrame, tables: int = TABLES, band: int = BAND, turns: int =
         members = written(of_keys(now, open_keys(now)), "members")
         if members.isEmpty():
             break
-    left = sets.join(members.select("node").distinct(), "node", "left_semi")
-    more = by_prefix(left, comps)
-    more = written(more.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    comps = components(links.unionByName(confirmed(more, sets)))
+    if not members.isEmpty():
+        left = sets.join(members.select("node").distinct(), "node", "left_semi")
+        more = by_prefix(left, comps)
+        more = written(more.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+        if not more.isEmpty():
+            comps = components(links.unionByName(confirmed(more, sets)))
     named = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = written(named.select("cls", "rep", "c", "comp"), "named")
     ids = named.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("members"))

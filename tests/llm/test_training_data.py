@@ -715,3 +715,22 @@ def test_near_dedup_moves_no_set_that_parities_rule_out(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in near_dedup.linked(docs_of(spark, rows)).collect()}
     assert got == {i: min(i, 100) for i, _ in rows}
     assert sum(asked) == 1
+
+
+def test_near_dedup_keeps_the_drivers_work_small(spark, monkeypatch):
+    """Joins of pairs with sets have one branch, hot nodes are dealt out, and nothing is compared that isn't open."""
+    sets = [tuple(range(k, k + 40)) for k in range(12)] + [tuple(range(900, 940))]
+    data = [(k, len(x), bytearray(np.array(x, np.uint64).tobytes()), near_dedup.parities(np.array(x, np.uint64))) for k, x in enumerate(sets)]
+    df = spark.createDataFrame(data, "node long, n long, s binary, bits array<long>")
+    pairs = spark.createDataFrame([(a, b) for b in range(13) for a in range(13) if a != b], "a long, b long")
+    close = {(a, b) for a in range(12) for b in range(12) if a != b and 100 * len({*sets[a]} & {*sets[b]}) >= 75 * len({*sets[a]} | {*sets[b]})}
+    for fan in (near_dedup.FAN, 5):
+        monkeypatch.setattr(near_dedup, "FAN", fan)
+        found = near_dedup.able_pairs(pairs, df)
+        assert {(r.a, r.b) for r in near_dedup.confirmed(found, df).collect()} == close
+        found.count()
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join ") == 4 and "Union" not in plan
+    monkeypatch.setattr(near_dedup, "by_prefix", lambda *_: pytest.fail("nothing is open"))
+    got = near_dedup.linked(docs_of(spark, [(k, f"alpha{k} beta{k} gamma{k}") for k in range(3)] + [(7, "alpha1 beta1 gamma1")])).collect()
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 1, 2: 2, 7: 1}
